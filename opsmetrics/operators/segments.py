@@ -50,12 +50,10 @@ def _vectors(features: DataFrame, columns: list[str], standardize: bool,
              invalid: str = "error"):
     """Feature vectors kept in memory for the passes of the fits.
 
-    Agents are laid out by a fixed hash and sorted, so that seeded starts repeat. A
-    lost block is re-read from the stored table.
+    Agents are laid out by hash in partitions of a size AQE picks, and sorted, so that
+    seeded starts repeat. A lost block is re-read from the stored table.
     """
-    spark = features.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = materialize(features.repartition(parts, "agent_name")
+    stored = materialize(features.hint("rebalance", "agent_name")
                          .sortWithinPartitions("agent_name"))
     vectors = VectorAssembler(inputCols=columns, outputCol="features",
                               handleInvalid=invalid).transform(stored)
@@ -75,7 +73,7 @@ def _best_fits(vectors: DataFrame, ks: list[int], n_init: int, seed: int,
                parallelism: int) -> dict[int, SegmentFit]:
     """Fit every k from ``n_init`` starts, a few fits at a time, and keep the best."""
     def fit(k: int, start: int) -> SegmentFit:
-        model = KMeans(k=k, seed=seed + start, initMode="k-means||", maxIter=50,
+        model = KMeans(k=k, seed=seed + start, initMode="k-means||", maxIter=20,
                        tol=1e-6, featuresCol="features", predictionCol="cluster_id"
                        ).fit(vectors)
         return SegmentFit(k, model, model.summary.trainingCost, model.summary.numIter)
@@ -91,7 +89,7 @@ def segment_kmeans(features: DataFrame, k: int = 3, n_init: int = 5, seed: int =
                    columns: list[str] | None = None,
                    rank_by: str = "calls_offer_applied_rate",
                    standardize: bool = False, invalid: str = "error",
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 8) -> DataFrame:
     """Assign each agent to a segment "1".."k", numbered by ascending ``rank_by``.
 
     The best of ``n_init`` starts by within-cluster sum of squares. ``invalid`` says
@@ -111,7 +109,7 @@ def segment_kmeans(features: DataFrame, k: int = 3, n_init: int = 5, seed: int =
 def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int = 5,
                  seed: int = 1, columns: list[str] | None = None,
                  standardize: bool = False, invalid: str = "error",
-                 parallelism: int = 4) -> DataFrame:
+                 parallelism: int = 8) -> DataFrame:
     """Elbow table: sums of squares of the best fit for each number of centers.
 
     One center needs no fit: its within sum of squares is the total.

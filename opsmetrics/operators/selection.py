@@ -24,7 +24,8 @@ def of_agents(df: DataFrame, agents: list[str] | DataFrame) -> DataFrame:
     """Rows of the chosen agents; an empty choice keeps none.
 
     A list becomes an ``In`` predicate. Pass a large choice as a DataFrame with an
-    ``agent_name`` column: it becomes a semi join.
+    ``agent_name`` column: it becomes a semi join, broadcast only if the planner knows
+    the choice is small, as it does for a stored table.
     """
     if isinstance(agents, DataFrame):
         return df.join(agents.select("agent_name"), "agent_name", "left_semi")

@@ -52,9 +52,13 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _selected_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """The summary for a date range and the agents of some leads."""
-    team = (_log(spark, folder).filter(F.col("team_lead_name").isin(LEADS))
-            .select("agent_name").distinct())
+    """The summary for a date range and the agents of some leads.
+
+    Both choices are on grouping keys of the fact, so they are made on the log: the
+    planner moves a date range below an aggregation by itself, but not a semi join.
+    """
+    team = materialize(_bridge(spark, folder).filter(F.col("team_lead_name").isin(LEADS))
+                       .select("agent_name").distinct())
     chosen = selection.of_agents(
         selection.in_period(_log(spark, folder), *PERIOD), team)
     return summary.agent_period_summary(facts.agent_daily_fact(chosen))
@@ -77,19 +81,16 @@ def _bridge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _by_lead(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Features, an assignment with the lead as the cluster, and the bridge, from one
-    pass over the log."""
-    fact = materialize(_fact(spark, folder))
-    bridge = segments.agent_lead_bridge(fact)
+    """Features, an assignment with the lead as the cluster, and the bridge."""
+    bridge = _bridge(spark, folder)
     assignment = bridge.select("agent_name", F.col("team_lead_name").alias("cluster"))
-    return features.agent_features(fact), assignment, bridge
+    return _features(spark, folder), assignment, bridge
 
 
 def _by_kmeans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Features, the K-means assignment and the bridge, from one pass over the log."""
-    fact = materialize(_fact(spark, folder))
-    agents = materialize(features.agent_features(fact))
-    return agents, segments.segment_kmeans(agents), segments.agent_lead_bridge(fact)
+    """Features, stored for their several uses, the K-means assignment and the bridge."""
+    agents = materialize(_features(spark, folder))
+    return agents, segments.segment_kmeans(agents), _bridge(spark, folder)
 
 
 def call_log(spark, folder):

@@ -6,7 +6,7 @@ supplier is the agent, the supplier's nation the team lead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics.functions.calendar import year_month
@@ -21,8 +21,23 @@ TARGET_RULES = [
 ]
 
 
+# The columns read, with their stored types: no footers are read to infer a schema.
+TABLES = {
+    "lineitem": "l_suppkey bigint, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def _percent_points(ratio: str) -> Column:
+    """A non-negative ratio in whole percent; ``round`` would go through decimals."""
+    return F.floor(F.col(ratio) * 100 + 0.5).cast("bigint")
 
 
 def call_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,8 +48,8 @@ def call_log(spark: SparkSession, folder: str) -> DataFrame:
     sort-merge join that AQE splits where an agent is hot.
     """
     lines = _table(spark, folder, "lineitem")
-    agents = _table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    leads = _table(spark, folder, "nation").select("n_nationkey", "n_name")
+    agents = _table(spark, folder, "supplier")
+    leads = _table(spark, folder, "nation")
     day = F.col("l_shipdate").cast("date")
     return (
         lines
@@ -47,8 +62,8 @@ def call_log(spark: SparkSession, folder: str) -> DataFrame:
             F.col("s_name").alias("agent_name"),
             F.col("l_quantity").cast("bigint").alias("calls"),
             F.floor("l_extendedprice").cast("bigint").alias("handle_time"),
-            F.round(F.col("l_discount") * 100).cast("bigint").alias("discount"),
-            F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"),
+            _percent_points("l_discount").alias("discount"),
+            _percent_points("l_tax").alias("tax"),
             (F.col("l_returnflag") == "R").alias("returned"),
             (F.col("l_linestatus") == "O").alias("open"))
         .withColumn("calls_with_offer", F.expr("calls * (100 - discount) div 100"))
