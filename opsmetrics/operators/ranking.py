@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opsmetrics.functions.numbers import safe_ratio
 from opsmetrics.functions.text import label, number_text, percent_text
 from opsmetrics.operators.ordering import with_global_order
+from opsmetrics.storage import materialize
 
 # The pooled name and the label text.
 OTHER = "Other"
@@ -18,20 +19,17 @@ TOP_AGENT_LABEL = ("Rank: {rank}\nOffers Applied: {offers_applied_text}\n"
 def lump_agents(df: DataFrame, n: int = 10) -> DataFrame:
     """Totals of the ``n`` agents with most calls, all others pooled as "Other".
 
-    Agents tied with the ``n``-th are all kept. The threshold is a scalar subquery over
-    a top-n of the per-agent totals. It reads both totals so that its shuffle is the
-    same as the outer one and is computed once.
+    Agents tied with the ``n``-th are all kept. The totals, one row per agent, are stored
+    because the threshold and the pooling both read them.
     """
-    totals = df.groupBy("agent_name").agg(
+    totals = materialize(df.groupBy("agent_name").agg(
         F.sum("calls").alias("total_calls"),
-        F.sum("calls_offer_applied").alias("offers_applied"))
+        F.sum("calls_offer_applied").alias("offers_applied")))
     leaders = totals.orderBy(F.desc("total_calls")).limit(n)
-    threshold = leaders.agg(F.min(F.struct("total_calls", "offers_applied")).alias("least"))
-    kept = F.col("total_calls") >= threshold.select("least.total_calls").scalar()
+    threshold = leaders.agg(F.min("total_calls")).scalar()
+    name = F.when(F.col("total_calls") >= threshold, F.col("agent_name")).otherwise(OTHER)
     return (
-        totals
-        .withColumn("agent_name", F.when(kept, F.col("agent_name")).otherwise(OTHER))
-        .groupBy("agent_name")
+        totals.groupBy(name.alias("agent_name"))
         .agg(F.sum("total_calls").alias("total_calls"),
              F.sum("offers_applied").alias("offers_applied")))
 

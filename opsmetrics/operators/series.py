@@ -7,7 +7,9 @@ calendar (53 week numbers).
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,9 +51,12 @@ def pct_change(order_by: str, value: str = "calls",
 
 def trailing_mean(value: str, k: int, window, head: float | None = None) -> Column:
     """Mean of the last ``k`` rows; NULL where one of them is missing. Rows before
-    the ``k``-th get ``head``. Rows are counted, not calendar steps."""
-    rows = window.rowsBetween(-(k - 1), 0)
-    complete = F.when(F.count(value).over(rows) == k, F.avg(value).over(rows))
+    the ``k``-th get ``head``. Rows are counted, not calendar steps.
+
+    A sum of lags: a missing row or value makes it NULL without counting.
+    """
+    rows = [F.col(value), *[F.lag(value, back).over(window) for back in range(1, k)]]
+    complete = reduce(operator.add, rows) / F.lit(float(k))
     if head is None:
         return complete
     return F.when(F.row_number().over(window) < k, F.lit(head)).otherwise(complete)

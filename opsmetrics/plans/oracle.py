@@ -320,8 +320,8 @@ SELECT *, {_percent("pct_diff_1")} AS pct_diff_1_chr FROM changed""",
 
     "calls_weekly_rolling": f"""WITH {WEEKLY}
 SELECT week_num, calls,
-       round({_trailing("calls", 2, "ORDER BY week_num", "0")}, 6) AS roll_mean_2,
-       round({_trailing("calls", 4, "ORDER BY week_num", "0")}, 6) AS roll_mean_4
+       {_trailing("calls", 2, "ORDER BY week_num", "0")} AS roll_mean_2,
+       {_trailing("calls", 4, "ORDER BY week_num", "0")} AS roll_mean_4
 FROM weekly""",
 
     "calls_monthly": f"WITH {MONTHLY} SELECT * FROM monthly",
@@ -349,9 +349,9 @@ weeks AS (
          CAST(call_date + (6 - dayofweek(call_date))::INTEGER AS DATE) AS week_end,
          sum(calls_offer_applied)::BIGINT AS total_offers_applied
   FROM log GROUP BY ALL)
-SELECT *, round({_trailing("total_offers_applied", 3,
-                           "PARTITION BY team_lead_name, agent_name ORDER BY week_end",
-                           "NULL")}, 6) AS rolling_avg_3
+SELECT *, {_trailing("total_offers_applied", 3,
+                     "PARTITION BY team_lead_name, agent_name ORDER BY week_end",
+                     "NULL")} AS rolling_avg_3
 FROM weeks""",
 
     "top_agents": f"""WITH {LOG},

@@ -163,7 +163,7 @@ def calls_weekly_change(spark, folder):
 
 
 def calls_weekly_rolling(spark, folder):
-    return rounded(series.calls_weekly_rolling(_weekly(spark, folder)), 6)
+    return series.calls_weekly_rolling(_weekly(spark, folder))
 
 
 def calls_monthly(spark, folder):
@@ -183,7 +183,7 @@ def calls_cumulative_by_month(spark, folder):
 
 
 def weekly_offers_rolling3(spark, folder):
-    return rounded(series.weekly_offers_rolling3(_log(spark, folder)), 6)
+    return series.weekly_offers_rolling3(_log(spark, folder))
 
 
 def top_agents(spark, folder):
