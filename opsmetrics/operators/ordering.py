@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from opsmetrics.storage import materialize
 
+# Bounds the table of range totals, which is broadcast.
+MAX_RANGES = 10_000
+
 
 def with_global_order(df: DataFrame, order_by: list[Column | str], position: str,
                       running: dict[str, str] | None = None, stored: bool = False,
@@ -18,7 +21,7 @@ def with_global_order(df: DataFrame, order_by: list[Column | str], position: str
     stored first so that its size is known. Up to ``rows_per_range`` rows one window
     is enough. Beyond, rows are range-partitioned and stored with their range number,
     each range is numbered on its own, and the totals of the ranges before it (one
-    row per range) are added.
+    row per range, at most ``MAX_RANGES``) are added.
     """
     running = running or {}
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
@@ -27,7 +30,7 @@ def with_global_order(df: DataFrame, order_by: list[Column | str], position: str
     if rows <= rows_per_range:
         return _number(df, Window.orderBy(*order), position, running)
 
-    ranges = -(-rows // rows_per_range)
+    ranges = min(-(-rows // rows_per_range), MAX_RANGES)
     ranged = materialize(df.repartitionByRange(ranges, *order)
                            .withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

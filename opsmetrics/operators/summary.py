@@ -20,6 +20,8 @@ SUMMARY_COUNTS = ["calls_with_offer", "calls_with_accept", "calls_offer_applied"
                   "call_breakage_count"]
 SUMMARY_RATES = ["call_transfer_rate", "call_breakage_rate", "calls_offer_applied_rate",
                  "calls_with_offer_rate", "calls_with_accept_rate"]
+SCORECARD_SUMS = ["calls_by_day_avg", "calls_total", *SUMMARY_COUNTS]
+SCORECARD_MEANS = ["handle_time_avg", "call_regen", *SUMMARY_RATES]
 
 
 def agent_period_summary(fact: DataFrame, na: str = "skip") -> DataFrame:
@@ -36,45 +38,42 @@ def agent_period_summary(fact: DataFrame, na: str = "skip") -> DataFrame:
         *[total(count, na).alias(count) for count in SUMMARY_COUNTS])
 
 
-def scorecard_totals(summary: DataFrame) -> DataFrame:
-    """One row of sums over agents; an empty selection gives zeros.
+def scorecard(summary: DataFrame) -> DataFrame:
+    """One row, from one aggregation: sums over agents and means over agents.
 
-    ``calls_by_day_avg`` adds each agent's own daily mean.
+    ``calls_by_day_avg`` adds each agent's own daily mean; the rates are means of
+    means. An empty selection gives zero sums and NULL means.
     """
     return summary.agg(
         F.coalesce(F.sum("calls_avg"), F.lit(0.0)).alias("calls_by_day_avg"),
-        *[F.coalesce(F.sum(count), F.lit(0)).alias(count)
-          for count in ["calls_total", *SUMMARY_COUNTS]])
+        *[F.coalesce(F.sum(count), F.lit(0)).alias(count) for count in SCORECARD_SUMS[1:]],
+        *[F.avg(rate).alias(rate) for rate in SCORECARD_MEANS])
 
 
-def scorecard_rates(summary: DataFrame, sectors: dict | None = None) -> DataFrame:
-    """One row of means over agents (means of means), gauge percents and sectors.
+def scorecard_totals(summary: DataFrame) -> DataFrame:
+    """The sums of the scorecard."""
+    return scorecard(summary).select(*SCORECARD_SUMS)
 
-    An empty selection gives NULLs.
-    """
+
+def scorecard_rates(summary: DataFrame, sectors: dict | None = None) -> DataFrame:
+    """The means of the scorecard, with gauge percents and sectors."""
     sectors = sectors or GAUGE_SECTORS
-    means = summary.agg(*[F.avg(c).alias(c)
-                          for c in ["handle_time_avg", "call_regen", *SUMMARY_RATES]])
-    gauges = means.withColumns({
-        f"{rate}_pct": F.round(F.bround(rate, 3) * 100, 1) for rate in sectors})
-    return gauges.withColumns({
-        f"{rate}_sector": sector(f"{rate}_pct", limits)
-        for rate, limits in sectors.items()})
+    return (
+        scorecard(summary).select(*SCORECARD_MEANS)
+        .withColumns({f"{rate}_pct": F.round(F.bround(rate, 3) * 100, 1) for rate in sectors})
+        .withColumns({f"{rate}_sector": sector(f"{rate}_pct", limits)
+                      for rate, limits in sectors.items()}))
 
 
 def scorecard_text(summary: DataFrame) -> DataFrame:
-    """The scorecard as display text, from one aggregation."""
+    """The scorecard as display text."""
     def rounded_percent(rate: str) -> Column:
         return percent_text(F.bround(rate, 3))
 
-    counts = ["calls_by_day_avg", "calls_total", *SUMMARY_COUNTS]
-    sums = [F.coalesce(F.sum("calls_avg"), F.lit(0.0)).alias("calls_by_day_avg"),
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts[1:]]]
-    rates = ["handle_time_avg", "call_regen", "call_transfer_rate", "call_breakage_rate",
-             "calls_offer_applied_rate"]
-    return summary.agg(*sums, *[F.avg(c).alias(c) for c in rates]).select(
-        *[number_text(c, 0).alias(f"{c}_text") for c in counts],
+    return scorecard(summary).select(
+        *[number_text(c, 0).alias(f"{c}_text") for c in SCORECARD_SUMS],
         number_text("handle_time_avg", 2).alias("handle_time_avg_text"),
-        *[rounded_percent(c).alias(f"{c}_text") for c in rates[1:4]],
+        *[rounded_percent(c).alias(f"{c}_text")
+          for c in ("call_regen", "call_transfer_rate", "call_breakage_rate")],
         F.concat(F.lit("Offer Applied Rate: "), rounded_percent("calls_offer_applied_rate"))
          .alias("calls_offer_applied_rate_text"))

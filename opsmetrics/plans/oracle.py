@@ -240,6 +240,47 @@ scale AS (
   SELECT sum(pow(calls - smooth, 2)) / ((SELECT n FROM size) - 2 * sum(own) + sum(spread)) AS s2
   FROM indexed JOIN fits USING (i))"""
 
+_SIX = "range(6)"
+
+
+def _dominant(source: str, name: str) -> str:
+    """The unit eigenvector of the largest eigenvalue of a 6 x 6 matrix (a list of 36),
+    by repeated squaring; its largest loading is positive."""
+    square = (f"list_transform(range(36), lambda p: list_sum(list_transform({_SIX}, "
+              f"lambda k: m[(p // 6) * 6 + k + 1] * m[k * 6 + p % 6 + 1])))")
+    trace = f"list_sum(list_transform({_SIX}, lambda k: sq[k * 7 + 1]))"
+    return f"""
+{name}_power AS (
+  SELECT 0 AS step, m FROM {source}
+  UNION ALL
+  SELECT step + 1, list_transform(sq, lambda v: v / {trace})
+  FROM (SELECT step, {square} AS sq FROM {name}_power WHERE step < 48)),
+{name}_top AS (
+  SELECT m, list_position(d, list_max(d)) - 1 AS j
+  FROM (SELECT m, list_transform({_SIX}, lambda k: m[k * 7 + 1]) AS d
+        FROM {name}_power WHERE step = 48)),
+{name} AS (
+  SELECT list_transform({_SIX}, lambda k: m[k * 6 + j + 1] / sqrt(m[j * 7 + 1])) AS axis
+  FROM {name}_top)"""
+
+
+def _score(axis: str) -> str:
+    return " + ".join(f"({f} - avg({f}) OVER ()) * {axis}[{i}]"
+                      for i, f in enumerate(FEATURE_NAMES, 1))
+
+
+PROJECTION = FEATURES + """,
+covariance AS (
+  SELECT [""" + ", ".join(f"covar_samp({a}, {b})"
+                          for a in FEATURE_NAMES for b in FEATURE_NAMES) + """] AS m
+  FROM features),""" + _dominant("covariance", "first_axis") + f""",
+deflated AS (
+  SELECT list_transform(range(36), lambda p: m[p + 1] - size * axis[p // 6 + 1] * axis[p % 6 + 1])
+           AS m
+  FROM (SELECT m, axis, list_sum(list_transform(range(36), lambda p:
+                 m[p + 1] * axis[p // 6 + 1] * axis[p % 6 + 1])) AS size
+        FROM covariance CROSS JOIN first_axis)),""" + _dominant("deflated", "second_axis")
+
 ORACLE = {
     "call_log": f"""WITH {LOG}
 SELECT yr_mo, call_date, team_lead_name, agent_name, calls, handle_time,
@@ -416,6 +457,10 @@ FROM (SELECT agent_name, calls_offer_applied_rate FROM features)""",
     "agent_lead_bridge": f"""WITH {LOG}
 SELECT DISTINCT agent_name, team_lead_name FROM log""",
 
+    "agent_projection": f"""WITH RECURSIVE {PROJECTION}
+SELECT agent_name, round({_score("a.axis")}, 6) AS x, round({_score("b.axis")}, 6) AS y
+FROM features CROSS JOIN first_axis a CROSS JOIN second_axis b""",
+
     "segment_quality": f"""WITH {ASSIGNED}
 SELECT cluster, count(*) AS size, round({_SQUARES}, 8) AS withinss,
        {", ".join(f"round(avg({f}), 8) AS center_{f}" for f in FEATURE_NAMES)}

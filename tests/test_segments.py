@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,24 @@ def test_sweep_golden(spark):
     assert [(r.centers, r.tot_withinss, r.betweenss) for r in rows] == [(1, 101, 0), (2, 1, 100)]
 
 
+def test_sweep_finds_the_optimum_of_small_inputs(spark):
+    """Against every assignment of nine points to up to three clusters."""
+    rng = np.random.default_rng(2)
+    data = rng.uniform(size=(9, 2))
+    df = spark.createDataFrame([(f"a{i}", *map(float, p)) for i, p in enumerate(data)],
+                               "agent_name string, u double, v double")
+
+    def within(assignment):
+        groups = np.array(assignment)
+        return sum(((data[groups == g] - data[groups == g].mean(axis=0)) ** 2).sum()
+                   for g in set(assignment))
+
+    rows = segments.kmeans_sweep(df, [2, 3], n_init=25, columns=["u", "v"]).collect()
+    for r in rows:
+        best = min(within(a) for a in itertools.product(range(r.centers), repeat=9))
+        assert r.tot_withinss == pytest.approx(best, abs=1e-9)
+
+
 def test_fewer_clusters_than_asked(spark):
     rows = segments.kmeans_sweep(points(spark, 1, 1, 2), [3], columns=["v"]).collect()
     assert rows[0].clusters_found <= 2 and rows[0].tot_withinss == pytest.approx(0)
