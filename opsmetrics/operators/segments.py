@@ -71,11 +71,15 @@ def _vectors(features: DataFrame, columns: list[str], standardize: bool,
 
 def _best_fits(vectors: DataFrame, ks: list[int], n_init: int, seed: int,
                parallelism: int) -> dict[int, SegmentFit]:
-    """Fit every k from ``n_init`` starts, a few fits at a time, and keep the best."""
+    """Fit every k from ``n_init`` starts, a few fits at a time, and keep the best.
+
+    The row solver is named because the block solver, which "auto" may pick, fails when
+    duplicate points leave fewer than k centers.
+    """
     def fit(k: int, start: int) -> SegmentFit:
         model = KMeans(k=k, seed=seed + start, initMode="k-means||", maxIter=20,
-                       tol=1e-6, featuresCol="features", predictionCol="cluster_id"
-                       ).fit(vectors)
+                       tol=1e-6, solver="row", featuresCol="features",
+                       predictionCol="cluster_id").fit(vectors)
         return SegmentFit(k, model, model.summary.trainingCost, model.summary.numIter)
 
     tasks = [(k, start) for k in ks for start in range(n_init)]
