@@ -167,8 +167,9 @@ def _beside_hub(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so a link of y with an x too far from the hub
     needs more than (1 - s) / 2 of D(y) in common, where s = (100 - p) / (100 + p).
     Likewise |D(x)| - |x xor y| of D(x) has to be common. Rare shingles come first in
-    both, and by the prefix bound two such sets share one of their first few: their own
-    edits, which other near copies do not have. Candidates are then confirmed in full.
+    both, and two sets that need c in common share one of the first |D| - c + 1 of each:
+    mostly their own edits, which other near copies do not have. Candidates are then
+    confirmed in full.
     """
     slack = (100 - percent) / (100 + percent)
     far = compared.filter("NOT linked").select("hub").distinct()
@@ -188,25 +189,31 @@ def _beside_hub(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     far_least = F.greatest(F.lit(1), F.col("n_apart") - most)
     any_least = F.floor(F.col("n_apart") * ((1 - slack) / 2) - 1e-6) + 1
 
-    def first_of(least):
-        return F.filter(F.slice("apart", 1, F.greatest(
-            F.lit(1), (F.col("n_apart") - least + 1).cast("int"))), lambda e: e["often"] > 1)
-
     def side(frame, least, name):
-        return frame.select(
-            "hub", F.explode(first_of(least)).alias("e"), F.col("rep").alias(name),
-            F.col("n").alias(f"n_{name}"), F.col("n_apart").alias(f"apart_{name}"),
-            F.col("linked").alias(f"linked_{name}")).withColumn("s", F.col("e.s")).drop("e")
+        """The first shingles of each set with their places, without those no other has."""
+        first = F.slice("apart", 1, F.greatest(
+            F.lit(1), (F.col("n_apart") - least + 1).cast("int")))
+        placed = F.transform(first, lambda e, i: F.struct(
+            e["s"].alias("s"), e["often"].alias("often"), (i + 1).alias("place")))
+        return (
+            frame.select("hub", F.explode(F.filter(placed, lambda e: e["often"] > 1)).alias("e"),
+                         F.col("rep").alias(name), F.col("n").alias(f"n_{name}"),
+                         F.col("n_apart").alias(f"apart_{name}"),
+                         F.col("linked").alias(f"linked_{name}"))
+            .withColumns({"s": F.col("e.s"), f"place_{name}": F.col("e.place")}).drop("e"))
 
     ranked = materialize(ranked)
     x = side(ranked.filter("NOT linked"), far_least, "x")
     y = side(ranked, any_least, "y")
+    # What this very pair needs in common, and so how far its first common shingle may be.
+    shared = F.greatest(F.lit(1), F.ceil(
+        (F.col("apart_x") + F.col("apart_y") - slack * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6))
     close = (
         (x["hub"] == y["hub"]) & (x["s"] == y["s"]) & (F.col("x") != F.col("y"))
         & (F.col("linked_y") | (F.col("x") < F.col("y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & _similar(F.col("n_x") + F.col("n_y"), F.abs(F.col("apart_x") - F.col("apart_y")),
-                   percent))
+        & (F.col("place_x") <= F.col("apart_x") - shared + 1)
+        & (F.col("place_y") <= F.col("apart_y") - shared + 1))
     candidates = materialize(x.join(y, close).select(F.col("x").alias("hub"),
                                                      F.col("y").alias("rep")).distinct())
     return (_compared(candidates, sets, percent).filter("linked")
