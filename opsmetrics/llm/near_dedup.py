@@ -205,7 +205,8 @@ def _beside_hub(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     ranked = materialize(ranked)
     x = side(ranked.filter("NOT linked"), far_least, "x")
     y = side(ranked, any_least, "y")
-    # What this very pair needs in common, and so how far its first common shingle may be.
+    # What this very pair needs in common, how far its first common shingle may be, and what
+    # two equal orders can still have in common before and after a shingle at these places.
     shared = F.greatest(F.lit(1), F.ceil(
         (F.col("apart_x") + F.col("apart_y") - slack * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6))
     close = (
@@ -213,7 +214,10 @@ def _beside_hub(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         & (F.col("linked_y") | (F.col("x") < F.col("y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & (F.col("place_x") <= F.col("apart_x") - shared + 1)
-        & (F.col("place_y") <= F.col("apart_y") - shared + 1))
+        & (F.col("place_y") <= F.col("apart_y") - shared + 1)
+        & (F.least("place_x", "place_y")
+           + F.least(F.col("apart_x") - F.col("place_x"), F.col("apart_y") - F.col("place_y"))
+           >= shared))
     candidates = materialize(x.join(y, close).select(F.col("x").alias("hub"),
                                                      F.col("y").alias("rep")).distinct())
     return (_compared(candidates, sets, percent).filter("linked")
