@@ -131,9 +131,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "shingles").select("doc_id", "shingles"))
     compared = materialize(_compared(pairs, sets, percent))
     links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = links.union(_beside_hub(compared, sets, percent))
-
-    joined = smallest_reachable(links)
+    joined = materialize(smallest_reachable(links))
+    more = materialize(_beside_hub(compared, joined, sets, percent))
+    if not more.isEmpty():
+        joined = smallest_reachable(more.union(joined.toDF("a", "b")))
     return (
         signed.select("doc_id", *by_set)
         .join(classes.select(*by_set, "rep"), by_set, "left")
@@ -160,8 +161,10 @@ def _similar(total, apart, percent: int):
     return (100 - percent) * total >= (100 + percent) * apart
 
 
-def _beside_hub(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between two classes of one hub, one of them not linked to the hub.
+def _beside_hub(compared: DataFrame, joined: DataFrame, sets: DataFrame,
+                percent: int) -> DataFrame:
+    """Links between two classes of one hub that ``joined`` does not connect yet. One of
+    them, x, is then open: not connected to the hub, so not linked to it either.
 
     Write D(x) for the shingles that only one of x and the hub has. |x xor y| is
     |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so a link of y with an x too far from the hub
@@ -172,17 +175,24 @@ def _beside_hub(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     confirmed in full.
     """
     slack = (100 - percent) / (100 + percent)
-    far = compared.filter("NOT linked").select("hub").distinct()
-    around = compared.join(far, "hub", "left_semi").select("hub", "rep", "n", "n_apart",
-                                                            "linked", "apart")
+    of_rep = joined.select(F.col("node").alias("rep"), F.col("component").alias("_rep_in"))
+    of_hub = joined.select(F.col("node").alias("hub"), F.col("component").alias("_hub_in"))
+    known = (
+        compared.join(of_rep, "rep", "left").join(of_hub, "hub", "left")
+        .withColumn("inside", F.coalesce("_rep_in", "rep"))
+        .withColumn("open", F.col("inside") != F.coalesce("_hub_in", "hub")))
+    far = known.filter("open").select("hub").distinct()
+    around = materialize(known.join(far, "hub", "left_semi").select(
+        "hub", "rep", "n", "n_apart", "open", "inside", "apart"))
     parts = around.select("hub", "rep", F.explode("apart").alias("s"))
     often = (parts.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("often")))
     ranked = (
-        around.select("hub", "rep", "n", "n_apart", "linked", F.explode("apart").alias("s"))
+        around.select("hub", "rep", "n", "n_apart", "open", "inside",
+                      F.explode("apart").alias("s"))
         .join(often, ["hub", "s"])
         .groupBy("hub", "rep")
         .agg(F.first("n").alias("n"), F.first("n_apart").alias("n_apart"),
-             F.first("linked").alias("linked"),
+             F.first("open").alias("open"), F.first("inside").alias("inside"),
              F.array_sort(F.collect_list(F.struct("often", "s"))).alias("apart")))
     # The least that x and y have in common, from the far side and from any side.
     most = F.floor(F.col("n") * ((100 - percent) / percent) + 1e-6)
@@ -199,19 +209,20 @@ def _beside_hub(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             frame.select("hub", F.explode(F.filter(placed, lambda e: e["often"] > 1)).alias("e"),
                          F.col("rep").alias(name), F.col("n").alias(f"n_{name}"),
                          F.col("n_apart").alias(f"apart_{name}"),
-                         F.col("linked").alias(f"linked_{name}"))
+                         F.col("open").alias(f"open_{name}"),
+                         F.col("inside").alias(f"inside_{name}"))
             .withColumns({"s": F.col("e.s"), f"place_{name}": F.col("e.place")}).drop("e"))
 
     ranked = materialize(ranked)
-    x = side(ranked.filter("NOT linked"), far_least, "x")
+    x = side(ranked.filter("open"), far_least, "x")
     y = side(ranked, any_least, "y")
     # What this very pair needs in common, how far its first common shingle may be, and what
     # two equal orders can still have in common before and after a shingle at these places.
     shared = F.greatest(F.lit(1), F.ceil(
         (F.col("apart_x") + F.col("apart_y") - slack * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6))
     close = (
-        (x["hub"] == y["hub"]) & (x["s"] == y["s"]) & (F.col("x") != F.col("y"))
-        & (F.col("linked_y") | (F.col("x") < F.col("y")))
+        (x["hub"] == y["hub"]) & (x["s"] == y["s"]) & (F.col("inside_x") != F.col("inside_y"))
+        & (~F.col("open_y") | (F.col("x") < F.col("y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & (F.col("place_x") <= F.col("apart_x") - shared + 1)
         & (F.col("place_y") <= F.col("apart_y") - shared + 1)
