@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.tables import materialize
-from opsmetrics.llm.text import WORD_FACTOR, code_points, mix, slices, texts_of
+from opsmetrics.llm.text import code_points, distinct, gram_hashes, slices, texts_of
 
 Q = 8
 EDIT_PERCENT = 10
@@ -57,24 +57,6 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
-    """A hash of every q code points in a row, put together from runs of 1, 2, 4 .."""
-    whole, length, run, run_length = None, 0, points.astype(np.uint64), 1
-    factor = WORD_FACTOR
-    while length < q:
-        if q & run_length:
-            if whole is None:
-                whole = run
-            else:
-                n = max(0, min(len(whole), len(run) - length))
-                whole = whole[:n] * factor + run[length:length + n]
-            length += run_length
-        run = run[:max(0, len(run) - run_length)] * factor + run[run_length:]
-        factor = np.uint64((int(factor) * int(WORD_FACTOR) + 2) % 2**64)
-        run_length *= 2
-    return mix(whole)
-
-
 @dataclass
 class Index:
     """The q-grams of a block of items: sorted hashes, and item and place of each."""
@@ -133,11 +115,6 @@ def build_index(ids: list[int], texts: list[str], q: int = Q, percent: int = EDI
                  int(number.max()))
 
 
-def _distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
-
-
 def _candidates(index: Index, points: np.ndarray, offsets: np.ndarray, q: int):
     """Item and first diagonal of each band with enough shared q-grams, over all texts of
     a slice laid end to end. A band is two cells of k + 1 diagonals, the next starts one
@@ -160,12 +137,12 @@ def _candidates(index: Index, points: np.ndarray, offsets: np.ndarray, q: int):
         width = index.edits[item] + 1
         diagonal = np.repeat(at[start:stop], n) - index.place[entry]
         cell = (diagonal + lengths[item]) // width + 1
-        keys.append(_distinct((item * cells + cell) * places + index.place[entry]))
+        keys.append(distinct((item * cells + cell) * places + index.place[entry]))
         start = stop
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # An item's q-gram counts once in a cell, however often the text repeats it there.
-    seen = _distinct(np.concatenate(keys)) // places
+    seen = distinct(np.concatenate(keys)) // places
     begin = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
     key, count = seen[begin], np.diff(np.append(begin, len(seen)))
     follows = np.append(key[1:] == key[:-1] + 1, False)

@@ -111,6 +111,30 @@ def joined_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total + np.uint64(size))
 
 
+def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
+    """A hash of every q code points in a row, put together from runs of 1, 2, 4 .."""
+    whole, length, run, run_length = None, 0, points.astype(np.uint64), 1
+    factor = WORD_FACTOR
+    while length < q:
+        if q & run_length:
+            if whole is None:
+                whole = run
+            else:
+                n = max(0, min(len(whole), len(run) - length))
+                whole = whole[:n] * factor + run[length:length + n]
+            length += run_length
+        run = run[:max(0, len(run) - run_length)] * factor + run[run_length:]
+        factor = np.uint64((int(factor) * int(WORD_FACTOR) + 2) % 2**64)
+        run_length *= 2
+    return mix(whole)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     """The sorted distinct hashes of every ``size`` words of each text.
 

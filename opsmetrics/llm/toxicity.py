@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.tables import fold, held_out, materialize
-from opsmetrics.llm.text import WORD_FACTOR, code_points, is_space, mix, slices, texts_of
+from opsmetrics.llm.text import (
+    code_points, distinct, gram_hashes, is_space, slices, texts_of)
 
 ORDERS = (5, 7)
 BUCKETS = 1 << 20
@@ -27,8 +28,10 @@ SAMPLE_DOCS = 6000
 SCALE_FOLD = 1
 
 
-def grams(texts: list[str], orders=ORDERS):
-    """For each text the sorted distinct buckets of its n-grams.
+def grams(texts: list[str], alive: np.ndarray | None = None,
+          orders=ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of the distinct n-grams of each text, by text, then bucket;
+    only buckets ``alive``, if given.
 
     Texts are lower-cased and runs of white space, also at both ends, count as one space.
     """
@@ -38,21 +41,18 @@ def grams(texts: list[str], orders=ORDERS):
     keep = np.ones(len(points), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     keep[offsets[:-1]] = True
-    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
-    offsets = ends[offsets]
-    values = points[keep].astype(np.uint64) + np.uint64(1)
-    hashed, total = {}, np.zeros(len(values), np.uint64)
-    for size in range(1, max(orders) + 1):
-        total = total[:len(values) - size + 1] * WORD_FACTOR + values[size - 1:]
-        if size in orders:
-            hashed[size] = (mix(total) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
-    seen = np.zeros(BUCKETS, bool)
-    for start, end in zip(offsets[:-1], offsets[1:]):
-        for size, buckets in hashed.items():
-            seen[buckets[start:max(start, end - size + 1)]] = True
-        found = np.flatnonzero(seen)
-        seen[found] = False
-        yield found
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])[offsets]
+    values = points[keep]
+    text = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(offsets))
+    found = []
+    for size in orders:
+        bucket = (gram_hashes(values, size) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+        used = text[:len(bucket)] == text[size - 1:]
+        if alive is not None:
+            used &= alive[bucket]
+        found.append(text[:len(bucket)][used] * BUCKETS + bucket[used])
+    pairs = distinct(np.concatenate(found))
+    return pairs // BUCKETS, pairs % BUCKETS
 
 
 @dataclass
@@ -65,12 +65,14 @@ class Model:
     scale: tuple[float, float] = (1.0, 0.0)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        z = np.array([_decision(self.weights[x]) for x in grams(texts)]) + self.bias
+        text, bucket = grams(texts, self.weights != 0)
+        z = _decisions(text, self.weights[bucket], len(texts)) + self.bias
         return _logistic(self.scale[0] * z + self.scale[1])
 
 
-def _decision(weights: np.ndarray) -> float:
-    return weights.sum(dtype=np.float64) / np.sqrt(1 + np.count_nonzero(weights))
+def _decisions(text: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
+    return (np.bincount(text, weights, minlength=texts)
+            / np.sqrt(1 + np.bincount(text, minlength=texts)))
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -82,10 +84,11 @@ def _count(batches):
     totals = np.zeros((2, BUCKETS), np.int64)
     documents = np.zeros(2, np.int64)
     for batch in slices(batches):
-        labels = batch.column("_label").to_pylist()
-        for label, found in zip(labels, grams(texts_of(batch.column("text")))):
-            totals[label, found] += 1
-            documents[label] += 1
+        labels = batch.column("_label").to_numpy()
+        text, bucket = grams(texts_of(batch.column("text")))
+        for label in (0, 1):
+            totals[label] += np.bincount(bucket[labels[text] == label], minlength=BUCKETS)
+        documents += np.bincount(labels, minlength=2)
     used = np.flatnonzero(totals.any(axis=0))
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(used, -1), pa.int32()),
@@ -98,10 +101,13 @@ def _select(batches, used: np.ndarray):
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     for batch in slices(batches):
-        found = [place[x] for x in grams(texts_of(batch.column("text")))]
+        text, bucket = grams(texts_of(batch.column("text")), place >= 0)
+        bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        features = place[bucket]
         yield pa.RecordBatch.from_arrays(
             [batch.column("_label").cast(pa.int32()),
-             pa.array([x[x >= 0].tobytes() for x in found], pa.binary())],
+             pa.array([features[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])],
+                      pa.binary())],
             names=["label", "features"])
 
 
@@ -160,7 +166,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     found, target = sample(known.filter("_scale"), sample_docs)
     scale = (1.0, float(np.log(documents[1] / documents[0])))
     if len(set(target)) == 2:
-        scale = fit_scale(np.array([_decision(weights[x]) for x in found]) + bias, target)
+        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        z = _decisions(of, weights[np.concatenate(found)], len(found))
+        scale = fit_scale(z + bias, target)
     table = np.zeros(BUCKETS, np.float32)
     table[bucket] = weights
     return Model(table, float(bias), scale)
