@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import operator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import partial, reduce
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.functions.text import label
@@ -29,17 +31,18 @@ SEGMENT_LABEL_TEXT = ("Agent: {agent_name}\nLead: {team_lead_name}\nCluster: {cl
 
 @dataclass(frozen=True)
 class SegmentFit:
-    """The best of several K-means starts."""
+    """The best of several K-means starts, run until no center moves."""
 
     k: int
-    model: KMeansModel
+    centers: np.ndarray
     within: float
     iterations: int
+    clusters: int
 
     def segment_numbers(self, rank_by: int) -> list[int]:
         """Segment 1..k of each cluster id, ascending by one center coordinate and then
         by the whole center: the ids of a fit are arbitrary."""
-        centers = [[float(v) for v in c] for c in self.model.clusterCenters()]
+        centers = self.centers.tolist()
         order = sorted(range(len(centers)),
                        key=lambda i: (centers[i][rank_by], centers[i]))
         return [order.index(i) + 1 for i in range(len(centers))]
@@ -69,51 +72,120 @@ def _vectors(features: DataFrame, columns: list[str], standardize: bool,
         vectors.unpersist()
 
 
-def _best_fits(vectors: DataFrame, ks: list[int], n_init: int, seed: int,
-               parallelism: int) -> dict[int, SegmentFit]:
-    """Fit every k from ``n_init`` starts, a few fits at a time, and keep the best.
-
-    The row solver is named because the block solver, which "auto" may pick, fails when
-    duplicate points leave fewer than k centers.
+def _starts(vectors: DataFrame, n_init: int, most: int) -> np.ndarray:
+    """For each start the vectors of the ``most`` agents with the smallest
+    md5(agent|start): the same on every engine and layout."""
+    start = F.explode(F.sequence(F.lit(1), F.lit(n_init))).alias("start")
+    drawn = vectors.select("agent_name", "v", start).withColumn(
+        "draw", F.md5(F.concat_ws("|", "agent_name", "start").cast("binary")))
+    by_draw = Window.partitionBy("start").orderBy("draw", "agent_name")
+    rows = (drawn.withColumn("place", F.row_number().over(by_draw))
+            .filter(F.col("place") <= most).orderBy("start", "place")
+            .select("start", "v").collect())
+    return [np.array([r.v for r in rows if r.start == s]) for s in range(1, n_init + 1)]
+
+
+def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest center of each point, the first of equally near ones, and the
+    squared distance."""
+    squares = np.stack([((points - c) ** 2).sum(axis=1) for c in centers], axis=1)
+    nearest = squares.argmin(axis=1)
+    return nearest, squares[np.arange(len(points)), nearest]
+
+
+def _partial_sums(batches, fits: dict):
+    """For every fit and cluster the number, sums and squared distances of a task's agents."""
+    totals = {}
+    for batch in batches:
+        points = np.array(batch.column("v").to_pylist())
+        for fit, centers in fits.items():
+            nearest, squares = _nearest(points, centers)
+            sums = np.zeros((len(centers), 2 + points.shape[1]))
+            sums[:, 0] = np.bincount(nearest, minlength=len(centers))
+            sums[:, 1] = np.bincount(nearest, squares, minlength=len(centers))
+            np.add.at(sums[:, 2:], nearest, points)
+            totals[fit] = totals.get(fit, 0) + sums
+    rows = [(fit, c, row.tolist()) for fit, sums in totals.items() for c, row in enumerate(sums)]
+    fit, cluster, sums = zip(*rows) if rows else ((), (), ())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(fit, pa.int32()), pa.array(cluster, pa.int32()),
+         pa.array(sums, pa.list_(pa.float64()))], names=["fit", "cluster", "sums"])
+
+
+def _best_fits(vectors: DataFrame, ks: list[int], n_init: int) -> dict[int, SegmentFit]:
+    """Lloyd's iterations for every k and start, one job for all of them at a time, each
+    until its centers stand still. An empty cluster keeps its center. The best of a k has
+    the smallest within sum of squares, then the smaller start.
+
+    What the driver holds is bounded by the parameters: k centers for each start and k.
     """
-    def fit(k: int, start: int) -> SegmentFit:
-        model = KMeans(k=k, seed=seed + start, initMode="k-means||", maxIter=20,
-                       tol=1e-6, solver="row", featuresCol="features",
-                       predictionCol="cluster_id").fit(vectors)
-        return SegmentFit(k, model, model.summary.trainingCost, model.summary.numIter)
-
-    tasks = [(k, start) for k in ks for start in range(n_init)]
-    run = inheritable_thread_target(vectors.sparkSession)(lambda task: fit(*task))
-    with ThreadPoolExecutor(parallelism) as pool:
-        fits = list(pool.map(run, tasks))
-    return {k: min((f for f in fits if f.k == k), key=lambda f: f.within) for k in ks}
-
-
-def segment_kmeans(features: DataFrame, k: int = 3, n_init: int = 5, seed: int = 1,
+    starts = _starts(vectors, n_init, max(ks))
+    width = starts[0].shape[1]
+    running = {k * n_init + s: starts[s][:k] for k in ks for s in range(n_init)}
+    done, step = {}, 0
+    while running:
+        step += 1
+        rows = (
+            vectors.select("v").mapInArrow(
+                partial(_partial_sums, fits=running),
+                "fit int, cluster int, sums array<double>")
+            .groupBy("fit", "cluster")
+            .agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 + width)])
+            .collect())
+        sums = {fit: np.zeros((len(c), 2 + width)) for fit, c in running.items()}
+        for row in rows:
+            sums[row.fit][row.cluster] = row[2:]
+        for fit, old in list(running.items()):
+            number = sums[fit][:, :1]
+            new = np.where(number > 0, sums[fit][:, 2:] / np.maximum(number, 1), old)
+            if np.allclose(new, old, rtol=1e-12, atol=1e-15):
+                found = int((number > 0).sum())
+                k, start = divmod(fit, n_init)
+                done[fit] = SegmentFit(k, old[number[:, 0] > 0], float(sums[fit][:, 1].sum()),
+                                       step, found)
+                del running[fit]
+            else:
+                running[fit] = new
+    return {k: min((done[k * n_init + s] for s in range(n_init)),
+                   key=lambda f: (round(f.within, 12),)) for k in ks}
+
+
+def _assign(batches, centers: np.ndarray, numbers: list[int]):
+    for batch in batches:
+        nearest, _ = _nearest(np.array(batch.column("v").to_pylist()), centers)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("agent_name"), pa.array([str(numbers[i]) for i in nearest], pa.string())],
+            names=["agent_name", "cluster"])
+
+
+def _as_arrays(vectors: DataFrame) -> DataFrame:
+    """Stored once, as every iteration reads it."""
+    return materialize(vectors.select("agent_name", vector_to_array("features").alias("v")))
+
+
+def segment_kmeans(features: DataFrame, k: int = 3, n_init: int = 100,
                    columns: list[str] | None = None,
                    rank_by: str = "calls_offer_applied_rate",
-                   standardize: bool = False, invalid: str = "error",
-                   parallelism: int = 8) -> DataFrame:
+                   standardize: bool = False, invalid: str = "error") -> DataFrame:
     """Assign each agent to a segment "1".."k", numbered by ascending ``rank_by``.
 
-    The best of ``n_init`` starts by within-cluster sum of squares. ``invalid`` says
-    what a missing feature does, as for ``VectorAssembler``. Duplicate points may leave
-    fewer than k segments.
+    The best of ``n_init`` repeatable starts by within-cluster sum of squares. ``invalid``
+    says what a missing feature does, as for ``VectorAssembler``. Duplicate points may leave
+    fewer than k segments, and fewer agents than k do.
     """
     columns = columns or FEATURES
     with _vectors(features, columns, standardize, invalid) as vectors:
-        best = _best_fits(vectors, [k], n_init, seed, parallelism)[k]
-        numbers = F.array(*[F.lit(str(n))
-                            for n in best.segment_numbers(columns.index(rank_by))])
-        assigned = best.model.transform(vectors).select(
-            "agent_name", F.element_at(numbers, F.col("cluster_id") + 1).alias("cluster"))
-        return materialize(assigned)
-
-
-def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int = 5,
-                 seed: int = 1, columns: list[str] | None = None,
-                 standardize: bool = False, invalid: str = "error",
-                 parallelism: int = 8) -> DataFrame:
+        vectors = _as_arrays(vectors)
+        best = _best_fits(vectors, [k], n_init)[k]
+        numbers = best.segment_numbers(columns.index(rank_by))
+        return materialize(vectors.mapInArrow(
+            partial(_assign, centers=best.centers, numbers=numbers),
+            "agent_name string, cluster string"))
+
+
+def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int = 100,
+                 columns: list[str] | None = None,
+                 standardize: bool = False, invalid: str = "error") -> DataFrame:
     """Elbow table: sums of squares of the best fit for each number of centers.
 
     One center needs no fit: its within sum of squares is the total.
@@ -121,13 +193,14 @@ def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int =
     columns = columns or FEATURES
     ks = ks or list(range(1, 11))
     with _vectors(features, columns, standardize, invalid) as vectors:
-        axes = vectors.select(vector_to_array("features").alias("v")).select(
-            *[F.col("v")[i].alias(f"v{i}") for i in range(len(columns))])
+        vectors = _as_arrays(vectors)
+        axes = vectors.select(*[F.col("v")[i].alias(f"v{i}") for i in range(len(columns))])
         total = axes.agg(_sum_of_squares(axes.columns).alias("ss")).first()["ss"]
-        fits = _best_fits(vectors, [k for k in ks if k > 1], n_init, seed, parallelism)
+        several = [k for k in ks if k > 1]
+        fits = _best_fits(vectors, several, n_init) if several else {}
         rows = [(k, total, total, 0.0, 1, 1) if k == 1 else
                 (k, total, fits[k].within, total - fits[k].within, fits[k].iterations,
-                 len(fits[k].model.clusterCenters()))
+                 fits[k].clusters)
                 for k in ks]
         return features.sparkSession.createDataFrame(
             rows, "centers int, totss double, tot_withinss double, betweenss double, "
@@ -135,9 +208,10 @@ def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int =
 
 
 def _sum_of_squares(columns: list[str]):
-    """Squared distances to the group's own center, in one stable pass."""
-    variances = sum((F.var_pop(c) for c in columns[1:]), F.var_pop(columns[0]))
-    return variances * F.count(F.lit(1))
+    """Squared distances to the group's own center, in one stable pass. A missing value
+    adds nothing, and is not counted among its feature's values either."""
+    return reduce(operator.add, [
+        F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)) for c in columns])
 
 
 def segment_quality(features: DataFrame, assignment: DataFrame,

@@ -63,8 +63,9 @@ def trailing_mean(value: str, k: int, window, head: float | None = None) -> Colu
 
 
 def calls_weekly_rolling(weekly: DataFrame) -> DataFrame:
-    """Two- and four-week trailing means, zero until enough weeks are seen."""
-    window = Window.orderBy("week_num")
+    """Two- and four-week trailing means, zero until enough weeks are seen. With a
+    ``year`` the weeks of one year follow those of the year before."""
+    window = Window.orderBy(*[c for c in ("year", "week_num") if c in weekly.columns])
     return weekly.withColumns({
         "roll_mean_2": trailing_mean("calls", 2, window, head=0.0),
         "roll_mean_4": trailing_mean("calls", 4, window, head=0.0)})

@@ -17,14 +17,17 @@ TARGET_COLUMNS = {
 }
 
 
-def targets_wide(targets: DataFrame) -> DataFrame:
+def targets_wide(targets: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """One row per month, one column per metric.
 
-    A repeated (month, metric) fails the job, and so does a ``yr_mo`` that is not a
-    month of 1900-2199. The result therefore has at most 3,600 rows, which is what
+    A repeated (month, metric) fails the job, and so does a metric that is not among
+    ``metrics`` or a ``yr_mo`` that is not a month of 1900-2199. The result therefore has at most 3,600 rows, which is what
     allows :func:`opsmetrics.operators.facts.with_targets` to broadcast it.
     """
-    month = F.col("yr_mo")
+    metrics = metrics or TARGET_METRICS
+    month, metric = F.col("yr_mo"), F.col("metric")
+    bad_metric = F.raise_error(F.concat(
+        F.lit("not a metric: "), F.coalesce(metric, F.lit("NULL"))))
     valid = month.between(190001, 219912) & (month % 100).between(1, 12)
     bad_month = F.raise_error(F.concat(F.lit("not a month: "), month.cast("string")))
     repeated = F.raise_error(F.lit("repeated target for a month and metric"))
@@ -33,7 +36,9 @@ def targets_wide(targets: DataFrame) -> DataFrame:
     wide = (
         targets
         .withColumn("yr_mo", F.when(valid, month).otherwise(bad_month.cast("int")))
-        .groupBy("yr_mo").pivot("metric", TARGET_METRICS).agg(value))
+        .withColumn("metric", F.when(metric.isin(metrics), metric)
+                    .otherwise(bad_metric.cast("string")))
+        .groupBy("yr_mo").pivot("metric", metrics).agg(value))
     return wide.toDF(*[name.lower() for name in wide.columns])
 
 

@@ -11,7 +11,8 @@ def read_call_log(spark: SparkSession, path: str, fmt: str = "parquet",
                   strict: bool = False) -> DataFrame:
     """Call rows from Parquet, ORC or a CSV export of the spreadsheet.
 
-    Columns are matched by name in any case and order; nothing is inferred.
+    Columns are matched by name in any case and order, and cast to the declared types.
+    Parquet and ORC files state their own types; CSV columns are read as text.
     """
     return conform(_load(spark, path, fmt), CALL_LOG, strict)
 

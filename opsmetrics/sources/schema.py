@@ -42,7 +42,8 @@ def conform(df: DataFrame, schema: T.StructType, strict: bool = False) -> DataFr
     """Project ``df`` onto ``schema`` by name and type.
 
     ``strict`` makes a NULL in a required column fail the job. It is off by default
-    because such checks keep filters on those columns from reaching the scan.
+    because such checks keep filters on those columns from reaching the scan. A number
+    with a fraction in a column of whole numbers always fails the job.
     """
     df = lower_names(df)
     absent = [name for name in schema.fieldNames() if name not in df.columns]
@@ -50,7 +51,12 @@ def conform(df: DataFrame, schema: T.StructType, strict: bool = False) -> DataFr
         raise ValueError(f"missing columns: {', '.join(absent)}")
 
     def column(field: T.StructField):
-        value = F.col(field.name).cast(field.dataType)
+        value = F.col(field.name)
+        fractional = isinstance(df.schema[field.name].dataType, T.FractionalType)
+        if fractional and isinstance(field.dataType, T.IntegralType):
+            problem = F.raise_error(F.lit(f"{field.name} has a fraction")).cast("double")
+            value = F.when(value != F.floor(value), problem).otherwise(value)
+        value = value.cast(field.dataType)
         if strict and not field.nullable:
             problem = F.raise_error(F.lit(f"{field.name} is missing")).cast(field.dataType)
             value = F.when(value.isNull(), problem).otherwise(value)

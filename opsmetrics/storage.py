@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The temporary folder of each local-mode application without the setting.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -23,9 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="opsmetrics-")
-    context.setCheckpointDir(folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="opsmetrics-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:
