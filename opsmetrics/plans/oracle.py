@@ -478,3 +478,12 @@ SELECT round(totss, 8) AS totss, round(tot_withinss, 8) AS tot_withinss, cluster
     "segment_members_by_lead": f"""WITH {PROFILE}
 SELECT {_PROFILE_ROWS} FROM profile WHERE cluster = '{LEAD}'""",
 }
+
+# The same over the selection: other rows under the same name.
+ORACLE |= {
+    f"{name}_selected": ORACLE[name].replace(f"WITH {SUMMARY}", f"WITH {SELECTED}", 1)
+    for name in ("scorecard_totals", "scorecard_text")}
+ORACLE |= {
+    f"{name}_selected": ORACLE[name].replace(f"WITH {LOG}", f"WITH {SELECTED}", 1)
+    .replace("FROM log GROUP BY", "FROM chosen GROUP BY")
+    for name in ("calls_per_day", "calls_per_day_smoothed")}

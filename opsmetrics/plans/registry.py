@@ -51,17 +51,20 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary.agent_period_summary(_fact(spark, folder))
 
 
-def _selected_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """The summary for a date range and the agents of some leads.
+def _selected_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The call rows of a date range and the agents of some leads.
 
     Both choices are on grouping keys of the fact, so they are made on the log: the
     planner moves a date range below an aggregation by itself, but not a semi join.
     """
     team = materialize(_bridge(spark, folder).filter(F.col("team_lead_name").isin(LEADS))
                        .select("agent_name").distinct())
-    chosen = selection.of_agents(
-        selection.in_period(_log(spark, folder), *PERIOD), team)
-    return summary.agent_period_summary(facts.agent_daily_fact(chosen))
+    return selection.of_agents(selection.in_period(_log(spark, folder), *PERIOD), team)
+
+
+def _selected_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return summary.agent_period_summary(
+        facts.agent_daily_fact(_selected_log(spark, folder)))
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +140,14 @@ def scorecard_text(spark, folder):
     return summary.scorecard_text(_summary(spark, folder))
 
 
+def scorecard_totals_selected(spark, folder):
+    return rounded(summary.scorecard_totals(_selected_summary(spark, folder)), 6)
+
+
+def scorecard_text_selected(spark, folder):
+    return summary.scorecard_text(_selected_summary(spark, folder))
+
+
 def filter_choices(spark, folder):
     return selection.filter_choices(_log(spark, folder))
 
@@ -154,6 +165,15 @@ def calls_per_day_smoothed(spark, folder):
     return rounded(smooth.loess(days, span=SPAN), 4)
 
 
+def calls_per_day_selected(spark, folder):
+    return series.calls_per_day(_selected_log(spark, folder))
+
+
+def calls_per_day_smoothed_selected(spark, folder):
+    days = series.calls_per_day(_selected_log(spark, folder))
+    return rounded(smooth.loess(days, span=SPAN), 4)
+
+
 def calls_weekly(spark, folder):
     return _weekly(spark, folder)
 
@@ -266,8 +286,10 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in [
     agent_daily_fact, agent_daily_vs_target,
     agent_period_summary, agent_period_summary_selected,
     scorecard_totals, scorecard_rates, scorecard_rates_selected, scorecard_text,
+    scorecard_totals_selected, scorecard_text_selected,
     filter_choices, agents_of_lead,
     calls_per_day, calls_per_day_smoothed,
+    calls_per_day_selected, calls_per_day_smoothed_selected,
     calls_weekly, calls_weekly_change, calls_weekly_rolling,
     calls_monthly, calls_monthly_vs_first, calls_monthly_cumulative,
     calls_cumulative_by_month, weekly_offers_rolling3,
