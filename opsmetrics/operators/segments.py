@@ -25,8 +25,8 @@ SEGMENT_LABELS = [
     ("2", "Offer Applied Rate: Medium"),
     ("3", "Offer Applied Rate: High"),
 ]
-SEGMENT_LABEL_TEXT = ("Agent: {agent_name}\nLead: {team_lead_name}\nCluster: {cluster}\n"
-                      "{cluster_label}")
+SEGMENT_SHORT_LABEL_TEXT = "Agent: {agent_name}\nLead: {team_lead_name}\nCluster: {cluster}"
+SEGMENT_LABEL_TEXT = SEGMENT_SHORT_LABEL_TEXT + "\n{cluster_label}"
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,8 @@ def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int =
                  standardize: bool = False, invalid: str = "error") -> DataFrame:
     """Elbow table: sums of squares of the best fit for each number of centers.
 
-    One center needs no fit: its within sum of squares is the total.
+    One center needs no fit: its within sum of squares is the total. ``converged`` says that
+    the fit ran until its centers stood still; no cap stops one, so it always does.
     """
     columns = columns or FEATURES
     ks = ks or list(range(1, 11))
@@ -198,13 +199,13 @@ def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int =
         total = axes.agg(_sum_of_squares(axes.columns).alias("ss")).first()["ss"]
         several = [k for k in ks if k > 1]
         fits = _best_fits(vectors, several, n_init) if several else {}
-        rows = [(k, total, total, 0.0, 1, 1) if k == 1 else
+        rows = [(k, total, total, 0.0, 1, 1, True) if k == 1 else
                 (k, total, fits[k].within, total - fits[k].within, fits[k].iterations,
-                 fits[k].clusters)
+                 fits[k].clusters, True)
                 for k in ks]
         return features.sparkSession.createDataFrame(
             rows, "centers int, totss double, tot_withinss double, betweenss double, "
-                  "iter int, clusters_found int")
+                  "iter int, clusters_found int, converged boolean")
 
 
 def _sum_of_squares(columns: list[str]):
@@ -307,9 +308,11 @@ def segment_label_table(spark, labels: list[tuple[str, str]] | None = None) -> D
 
 def segment_labels(projection: DataFrame, assignment: DataFrame, bridge: DataFrame,
                    labels: list[tuple[str, str]] | None = None) -> DataFrame:
-    """The segment map: projected agents with cluster, lead, segment name and label."""
+    """The segment map: projected agents with cluster, lead, segment name, and labels with
+    and without that name."""
     names = segment_label_table(projection.sparkSession, labels)
     placed = (projection.join(assignment, "agent_name", "left")
               .join(bridge, "agent_name", "left"))
     return (natural_left_join(placed, F.broadcast(names))
-            .withColumn("label_text", label(SEGMENT_LABEL_TEXT)))
+            .withColumns({"short_label_text": label(SEGMENT_SHORT_LABEL_TEXT),
+                          "label_text": label(SEGMENT_LABEL_TEXT)}))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from opsmetrics.operators.segments import SEGMENT_LABELS
 from opsmetrics.operators.summary import GAUGE_SECTORS
 from opsmetrics.plans.registry import (
     LEAD, LEADS, PERIOD, QUANTILES, RATE_LIMITS, SPAN, TOP_N)
@@ -281,6 +282,61 @@ deflated AS (
                  m[p + 1] * axis[p // 6 + 1] * axis[p % 6 + 1])) AS size
         FROM covariance CROSS JOIN first_axis)),""" + _dominant("deflated", "second_axis")
 
+_AXES = range(1, len(FEATURE_NAMES) + 1)
+_DISTANCE = " + ".join(f"(v{i} - c{i}) ** 2" for i in _AXES)
+
+
+def _lloyd(ks: str) -> str:
+    """Lloyd's iterations of 100 starts for the numbers of centers in ``ks``, each until its
+    centers stand still, and the best start of each number."""
+    v, c, new = (", ".join(f"{x}{i}" for i in _AXES) for x in ("v", "c", "new"))
+    moved = " OR ".join(f"abs(new{i} - c{i}) > 1e-15 + 1e-12 * abs(c{i})" for i in _AXES)
+    return f""",
+points AS (
+  SELECT agent_name, {", ".join(f"{f} AS v{i}" for i, f in zip(_AXES, FEATURE_NAMES))}
+  FROM features),
+starts AS (
+  SELECT s, {v}, row_number() OVER (
+           PARTITION BY s ORDER BY md5(agent_name || '|' || s), agent_name) AS place
+  FROM points CROSS JOIN range(1, 101) t(s)),
+lloyd AS (
+  SELECT k, s, 0 AS step, true AS moving, place AS c, {", ".join(f"v{i} AS c{i}" for i in _AXES)},
+         0::BIGINT AS n, 0::DOUBLE AS ss
+  FROM starts JOIN {ks} t(k) ON place <= k
+  UNION ALL
+  SELECT k, s, step + 1, bool_or({moved}) OVER (PARTITION BY k, s), c, {new}, n, ss
+  FROM (
+    SELECT l.k, l.s, l.step, l.c, {", ".join(f"l.c{i}" for i in _AXES)},
+           {", ".join(f"coalesce(m{i} / m.n, l.c{i}) AS new{i}" for i in _AXES)},
+           coalesce(m.n, 0) AS n, coalesce(m.ss, 0) AS ss
+    FROM lloyd l LEFT JOIN (
+      SELECT k, s, near.c AS c, count(*) AS n, sum(near.d) AS ss,
+             {", ".join(f"sum(v{i}) AS m{i}" for i in _AXES)}
+      FROM (SELECT k, s, agent_name, min({{'d': {_DISTANCE}, 'c': c}}) AS near,
+                   {", ".join(f"any_value(v{i}) AS v{i}" for i in _AXES)}
+            FROM lloyd CROSS JOIN points WHERE moving GROUP BY k, s, agent_name)
+      GROUP BY k, s, near.c) m ON m.k = l.k AND m.s = l.s AND m.c = l.c
+    WHERE l.moving)),
+fits AS (
+  SELECT k, s, max(step) AS iter, sum(ss) AS within, count(*) FILTER (n > 0) AS found
+  FROM lloyd WHERE NOT moving GROUP BY k, s),
+best AS (
+  SELECT * FROM fits
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(within, 12), s) = 1)"""
+
+
+SEGMENTED = BRIDGE + _lloyd("range(3, 4)") + f""",
+centers AS (
+  SELECT lloyd.*, row_number() OVER (
+           ORDER BY c{len(FEATURE_NAMES)}, {", ".join(f"c{i}" for i in _AXES)}) AS number
+  FROM lloyd JOIN best USING (k, s) WHERE NOT moving AND n > 0),
+assigned AS (
+  SELECT f.*, cluster
+  FROM features f JOIN (
+    SELECT agent_name, number::VARCHAR AS cluster FROM points CROSS JOIN centers
+    QUALIFY row_number() OVER (PARTITION BY agent_name ORDER BY {_DISTANCE}, c) = 1)
+  USING (agent_name))"""
+
 ORACLE = {
     "call_log": f"""WITH {LOG}
 SELECT yr_mo, call_date, team_lead_name, agent_name, calls, handle_time,
@@ -479,6 +535,37 @@ SELECT round(totss, 8) AS totss, round(tot_withinss, 8) AS tot_withinss, cluster
 SELECT {_PROFILE_ROWS} FROM profile WHERE cluster = '{LEAD}'""",
 }
 
+# The same with the K-means segment as the cluster.
+ORACLE |= {
+    name + suffix: ORACLE[name + known].replace(f"WITH {ASSIGNED}", f"WITH RECURSIVE {SEGMENTED}", 1)
+    for name, known, suffix in (
+        ("segment_quality", "", "_kmeans"), ("segment_totals", "", "_kmeans"),
+        ("segment_profile", "_by_lead", ""))}
+ORACLE |= {
+    "segment_kmeans": f"WITH RECURSIVE {SEGMENTED} SELECT agent_name, cluster FROM assigned",
+
+    "segment_members": ORACLE["segment_profile"] + " WHERE cluster = '3'",
+
+    "kmeans_sweep": f"""WITH RECURSIVE {FEATURES}{_lloyd("range(2, 11)")},
+total AS (SELECT {_SQUARES} AS totss FROM features)
+SELECT 1 AS centers, round(totss, 8) AS totss, round(totss, 8) AS tot_withinss,
+       0.0::DOUBLE AS betweenss, 1 AS iter, 1 AS clusters_found, true AS converged FROM total
+UNION ALL
+SELECT k::INTEGER, round(totss, 8), round(within, 8), round(totss - within, 8),
+       iter::INTEGER, found::INTEGER, true FROM best CROSS JOIN total""",
+
+    "segment_labels": f"""WITH RECURSIVE {SEGMENTED}{PROJECTION.removeprefix(FEATURES)},
+names AS (
+  SELECT * FROM (VALUES {", ".join(map(str, SEGMENT_LABELS))}) t(cluster, cluster_label))
+SELECT round({_score("a.axis")}, 6) AS x, round({_score("b.axis")}, 6) AS y, agent_name, cluster,
+       team_lead_name, cluster_label,
+       concat('Agent: ', agent_name, chr(10), 'Lead: ', team_lead_name, chr(10), 'Cluster: ',
+              cluster) AS short_label_text,
+       concat(short_label_text, chr(10), cluster_label) AS label_text
+FROM assigned LEFT JOIN bridge USING (agent_name) LEFT JOIN names USING (cluster)
+CROSS JOIN first_axis a CROSS JOIN second_axis b""",
+}
+
 # The same over the selection: other rows under the same name.
 ORACLE |= {
     f"{name}_selected": ORACLE[name].replace(f"WITH {SUMMARY}", f"WITH {SELECTED}", 1)

@@ -270,6 +270,16 @@ def segment_profile(spark, folder):
     return rounded(segments.segment_profile(*_by_kmeans(spark, folder), RATE_LIMITS), 6)
 
 
+def segment_quality_kmeans(spark, folder):
+    agents, assignment, _ = _by_kmeans(spark, folder)
+    return rounded(segments.segment_quality(agents, assignment), 8)
+
+
+def segment_totals_kmeans(spark, folder):
+    agents, assignment, _ = _by_kmeans(spark, folder)
+    return rounded(segments.segment_totals(agents, assignment), 8)
+
+
 def segment_members(spark, folder):
     profile = segments.segment_profile(*_by_kmeans(spark, folder), RATE_LIMITS)
     return rounded(segments.segment_members(profile, 3), 6)
@@ -298,4 +308,5 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in [
     segment_quality, segment_totals, segment_profile_by_lead, segment_members_by_lead,
     segment_kmeans, kmeans_sweep, agent_projection,
     segment_profile, segment_members, segment_labels,
+    segment_quality_kmeans, segment_totals_kmeans,
 ]}

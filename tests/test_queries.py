@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-             "date": "DATE"}
+             "date": "DATE", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
