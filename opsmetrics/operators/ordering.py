@@ -7,32 +7,24 @@ from pyspark.sql import functions as F
 
 from opsmetrics.storage import materialize
 
-# Bounds the table of range totals, which is broadcast.
-MAX_RANGES = 10_000
-
 
 def with_global_order(df: DataFrame, order_by: list[Column | str], position: str,
                       running: dict[str, str] | None = None, stored: bool = False,
-                      rows_per_range: int = 200_000) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """Add the 1-based ``position`` of each row under ``order_by`` and, for each
     ``{output: column}`` of ``running``, the running sum of the column.
 
     ``order_by`` should end in a unique column, which also spreads ties. The input is
-    stored first so that its size is known. Up to ``rows_per_range`` rows one window
-    is enough. Beyond, rows are range-partitioned and stored with their range number,
-    each range is numbered on its own, and the totals of the ranges before it (one
-    row per range, at most ``MAX_RANGES``) are added.
+    stored first unless it is ``stored`` already, as range bounds are sampled from it.
+    Rows are range-partitioned (``ranges``, else as many as the session shuffles to, thin
+    ones joined by AQE) and stored with their range number, each range is numbered on its
+    own, and the totals of the ranges before it, one broadcast row per range, are added.
     """
     running = running or {}
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     df = df if stored else materialize(df)
-    rows = df.count()
-    if rows <= rows_per_range:
-        return _number(df, Window.orderBy(*order), position, running)
-
-    ranges = min(-(-rows // rows_per_range), MAX_RANGES)
-    ranged = materialize(df.repartitionByRange(ranges, *order)
-                           .withColumn("_range", F.spark_partition_id()))
+    cut = df.repartitionByRange(*([ranges] if ranges else []), *order)
+    ranged = materialize(cut.withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("_range")

@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,23 +15,21 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def local_quadratic(x: np.ndarray, y: np.ndarray, span: float,
-                    z: float = 1.96) -> tuple[np.ndarray, np.ndarray]:
-    """Fit and half-width of the ``z`` confidence band at every ``x``, sorted ascending.
+def local_quadratic(x: np.ndarray, y: np.ndarray, q: int,
+                    targets: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fit, sum of squared weights and own weight at the ``targets`` among ``x``, sorted
+    ascending.
 
-    Each fit weighs the nearest ``floor(span * n)`` points by the tricube of their
-    distance over the farthest one's. Those points are a run of the sorted ``x``, so
-    the work is n times the run length, done in blocks to bound memory.
+    Each fit weighs the nearest ``q`` points by the tricube of their distance over the
+    farthest one's. Those points are a run of the sorted ``x``, so the work is targets
+    times the run length, done in blocks to bound memory.
     """
     n = len(x)
-    q = int(np.floor(span * n + 1e-5))
-    fit = np.full(n, np.nan)
-    if q < 3:
-        return fit, fit.copy()
-    spread, own = np.full(n, np.nan), np.full(n, np.nan)
+    first_row, stop = targets.start, targets.stop
+    fit, spread, own = (np.full(stop - first_row, np.nan) for _ in range(3))
     offsets = np.arange(q)
-    for first in range(0, n, 512):
-        rows = np.arange(first, min(first + 512, n))
+    for first in range(first_row, stop, 512):
+        rows = np.arange(first, min(first + 512, stop))
         # Start of each run of q points that contains the row and reaches least far.
         starts = np.clip(rows[:, None] - offsets[::-1], 0, n - q)
         reach = np.maximum(x[rows, None] - x[starts], x[starts + q - 1] - x[rows, None])
@@ -47,34 +45,66 @@ def local_quadratic(x: np.ndarray, y: np.ndarray, span: float,
             det = s0 * c0 + s1 * c1 + s2 * c2
             lever = (w * (c0[:, None] + c1[:, None] * u + c2[:, None] * u * u)) / det[:, None]
         solvable = ((w > 0).sum(axis=1) >= 3) & (det > 1e-12)
-        fit[rows] = np.where(solvable, (lever * y[run]).sum(axis=1), np.nan)
-        spread[rows] = np.where(solvable, (lever ** 2).sum(axis=1), np.nan)
-        own[rows] = np.where(solvable, c0 / det, np.nan)
-    freedom = n - 2 * np.nansum(own) + np.nansum(spread)
-    sigma2 = np.nansum((y - fit) ** 2) / freedom if freedom > 0 else np.nan
-    return fit, z * np.sqrt(sigma2 * spread)
+        out = rows - first_row
+        fit[out] = np.where(solvable, (lever * y[run]).sum(axis=1), np.nan)
+        spread[out] = np.where(solvable, (lever ** 2).sum(axis=1), np.nan)
+        own[out] = np.where(solvable, c0 / det, np.nan)
+    return fit, spread, own
 
 
 def loess(df: DataFrame, day: str = "call_date", value: str = "calls",
-          keys: list[str] | None = None, span: float = 0.2, z: float = 1.96) -> DataFrame:
+          keys: list[str] | None = None, span: float = 0.2, z: float = 1.96,
+          block_days: int = 256) -> DataFrame:
     """Smooth one daily series per combination of ``keys``.
 
-    ``df`` holds one row per day and key, so a group is bounded by the calendar and not
-    by the calls behind it. Adds ``smooth`` and the band ``lower``..``upper``; NULL where
-    fewer than three points carry weight.
+    ``df`` holds one row per day and key, so a series is bounded by the calendar and not
+    by the calls behind it. Adds ``smooth`` and the ``z`` confidence band
+    ``lower``..``upper``; NULL where fewer than three points carry weight.
+
+    Days are numbered and cut into blocks of ``block_days``, or of as many days as a fit
+    weighs if that is more. A fit reads no farther than that, so a block is fitted in a
+    group of its own, with the days of the blocks beside it: a day goes to three groups
+    at most. The residuals of all blocks then give the band.
     """
     keys = keys or []
-    schema = T.StructType([df.schema[c] for c in [*keys, day, value]] + [
-        T.StructField(name, T.DoubleType()) for name in ("smooth", "lower", "upper")])
+    series = Window.partitionBy(*keys)
+    numbered = (
+        df.select(*keys, day, value, F.unix_date(day).cast("double").alias("_x"))
+        .withColumns({"_i": F.row_number().over(series.orderBy("_x")) - 1,
+                      "_n": F.count(F.lit(1)).over(series)})
+        .withColumn("_q", F.floor(F.lit(span) * F.col("_n") + 1e-5).cast("int"))
+        .withColumn("_size", F.greatest(F.lit(block_days), "_q")))
+    own_block = F.expr("_i div _size")
+    dealt = numbered.withColumn("_block", F.explode(F.sequence(
+        F.greatest(own_block - 1, F.lit(0).cast("bigint")),
+        F.least(own_block + 1, F.expr("(_n - 1) div _size")))))
+    schema = T.StructType([dealt.schema[c] for c in [*keys, day, value, "_n"]] + [
+        T.StructField(name, T.DoubleType()) for name in ("smooth", "_spread", "_own")])
 
-    def smooth_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_x", ignore_index=True)
-        fit, band = local_quadratic(pdf["_x"].to_numpy(float), pdf[value].to_numpy(float),
-                                    span, z)
-        pdf = pdf.assign(smooth=fit, lower=fit - band, upper=fit + band)
-        return pdf[schema.fieldNames()]
+    def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        q, size, block = (int(pdf[c].iloc[0]) for c in ("_q", "_size", "_block"))
+        inside = np.flatnonzero(pdf["_i"].to_numpy() // size == block)
+        targets = slice(int(inside[0]), int(inside[-1]) + 1)
+        found = pdf.iloc[targets]
+        parts = [np.nan] * 3 if q < 3 else local_quadratic(
+            pdf["_x"].to_numpy(float), pdf[value].to_numpy(float), q, targets)
+        return found.assign(smooth=parts[0], _spread=parts[1],
+                            _own=parts[2])[schema.fieldNames()]
 
-    numbered = df.select(*keys, day, value, F.unix_date(day).alias("_x"))
-    fitted = numbered.groupBy(*keys).applyInPandas(smooth_series, schema)
-    return fitted.withColumns({
-        c: F.when(~F.isnan(c), F.col(c)) for c in ("smooth", "lower", "upper")})
+    # Numbered days lie together and are few bytes: without a given number of partitions
+    # neither the planner nor AQE would spread the fits.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = (dealt.repartition(tasks, *keys, "_block")
+              .groupBy(*keys, "_block").applyInPandas(fit_block, schema))
+    known = fitted.withColumns({
+        c: F.when(~F.isnan(c), F.col(c)) for c in ("smooth", "_spread", "_own")})
+    freedom = (F.col("_n") - 2 * F.coalesce(F.sum("_own").over(series), F.lit(0.0))
+               + F.coalesce(F.sum("_spread").over(series), F.lit(0.0)))
+    squares = F.sum((F.col(value) - F.col("smooth")) ** 2).over(series)
+    return (
+        known.withColumns({"_freedom": freedom, "_squares": squares})
+        .withColumn("_band", F.when(F.col("_freedom") > 0, F.lit(z) * F.sqrt(
+            F.col("_squares") / F.col("_freedom") * F.col("_spread"))))
+        .select(*keys, day, value, "smooth", (F.col("smooth") - F.col("_band")).alias("lower"),
+                (F.col("smooth") + F.col("_band")).alias("upper")))

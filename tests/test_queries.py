@@ -54,7 +54,7 @@ def test_matches_sql(spark, duck, name):
                                   "top_agents", "agent_metric_long", "rate_quantiles",
                                   "filter_choices", "segment_profile_by_lead"])
 def test_matches_sql_without_small_side_shortcuts(spark, duck, name, monkeypatch):
-    """No automatic broadcast, and the global order always cut into ranges."""
+    """No automatic broadcast, and the global order cut into ranges that AQE does not join."""
     monkeypatch.setattr(ordering.with_global_order, "__defaults__", (None, False, 3))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -82,8 +82,8 @@ def test_local_quadratic_against_least_squares():
     rng = np.random.default_rng(5)
     x = np.sort(rng.choice(900, size=300, replace=False)).astype(float)
     y = 50 + 10 * np.sin(x / 60) + rng.normal(size=300)
-    fit, band = smooth.local_quadratic(x, y, 0.2)
     q = 60
+    fit, spread, own = smooth.local_quadratic(x, y, q, slice(0, 300))
     for i in range(300):
         distance = np.abs(x - x[i])
         h = np.sort(distance)[q - 1]
@@ -91,7 +91,7 @@ def test_local_quadratic_against_least_squares():
         design = np.vander((x - x[i]) / h, 3, increasing=True) * np.sqrt(w)[:, None]
         beta = np.linalg.lstsq(design, y * np.sqrt(w), rcond=None)[0]
         assert fit[i] == pytest.approx(beta[0], abs=1e-8)
-    assert (band > 0).all()
+    assert (spread > 0).all() and (own > 0).all()
 
 
 def test_loess_per_key(spark):
@@ -109,3 +109,26 @@ def test_loess_per_key(spark):
             assert r.smooth == pytest.approx(r.calls, abs=1e-8 * max(1, abs(r.calls)))
     assert smooth.loess(df.filter("key = 'a'").drop("key")).filter(
         F.col("smooth").isNull()).count() == 0
+
+
+def test_loess_blocks_give_what_one_block_gives(spark):
+    rng = np.random.default_rng(6)
+    start = dt.date(2017, 1, 1)
+    days = rng.choice(900, size=400, replace=False)
+    df = spark.createDataFrame(
+        [(start + dt.timedelta(int(d)), float(rng.normal())) for d in days],
+        "call_date date, calls double")
+    whole, cut = (smooth.loess(df, span=0.1, block_days=b).orderBy("call_date").collect()
+                  for b in (1000, 30))
+    assert len(whole) == len(cut) == 400
+    for a, b in zip(whole, cut):
+        assert a[:3] == b[:3]
+        assert (a.lower, a.upper) == pytest.approx((b.lower, b.upper), abs=1e-9)
+
+
+def test_one_series_is_fitted_in_several_groups(spark):
+    days = spark.sql("SELECT date_add(DATE'2017-01-01', CAST(id AS int)) AS call_date, "
+                     "CAST(id AS double) AS calls FROM range(900)")
+    plan = smooth.loess(days)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_block" in plan
+    assert smooth.loess(days.limit(0)).collect() == []
