@@ -30,6 +30,23 @@ def agent_features(fact: DataFrame, na: str = "skip") -> DataFrame:
     return fact.groupBy("agent_name").agg(*[mean(f, na).alias(f) for f in FEATURES])
 
 
+def agent_lead_rates(fact: DataFrame) -> DataFrame:
+    """Sum and number of each daily rate per agent and lead.
+
+    One row per pair: stored once, it gives both the features and the agent-lead pairs
+    without another pass over the calls. Missing rates are neither summed nor counted.
+    """
+    return fact.groupBy("agent_name", "team_lead_name").agg(
+        *[F.sum(f).alias(f"{f}_sum") for f in FEATURES],
+        *[F.count(f).alias(f"{f}_days") for f in FEATURES])
+
+
+def features_of_rates(rates: DataFrame) -> DataFrame:
+    """The features of ``agent_features`` from ``agent_lead_rates``."""
+    return rates.groupBy("agent_name").agg(*[
+        F.try_divide(F.sum(f"{f}_sum"), F.sum(f"{f}_days")).alias(f) for f in FEATURES])
+
+
 def agent_metric_long(fact: DataFrame) -> DataFrame:
     """One row per agent and metric, missing rates included.
 

@@ -237,9 +237,18 @@ fits AS (
   FROM near n JOIN cofactors c ON n.i = c.i
   WHERE points >= 3 AND det > 1e-12
   GROUP BY n.i),
+residuals AS (
+  SELECT 1.959963984540054::DOUBLE AS z, sum(pow(calls - smooth, 2)) AS squares,
+         (SELECT n FROM size) - 2 * sum(own) + sum(spread) AS freedom
+  FROM indexed JOIN fits USING (i)),
 scale AS (
-  SELECT sum(pow(calls - smooth, 2)) / ((SELECT n FROM size) - 2 * sum(own) + sum(spread)) AS s2
-  FROM indexed JOIN fits USING (i))"""
+  SELECT squares / freedom AS s2,
+         z + (pow(z, 3) + z) / 4 / freedom
+           + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(freedom, 2)
+           + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(freedom, 3)
+           + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3)
+              - 945 * z) / 92160 / pow(freedom, 4) AS t
+  FROM residuals)"""
 
 _SIX = "range(6)"
 
@@ -401,8 +410,8 @@ FROM log GROUP BY call_date""",
 
     "calls_per_day_smoothed": f"""WITH {SMOOTH}
 SELECT call_date, calls, round(smooth, 4) AS smooth,
-       round(smooth - 1.96::DOUBLE * sqrt(s2 * spread), 4) AS lower,
-       round(smooth + 1.96::DOUBLE * sqrt(s2 * spread), 4) AS upper
+       round(smooth - t * sqrt(s2 * spread), 4) AS lower,
+       round(smooth + t * sqrt(s2 * spread), 4) AS upper
 FROM indexed LEFT JOIN fits USING (i) CROSS JOIN scale""",
 
     "calls_weekly": f"WITH {WEEKLY} SELECT * FROM weekly",

@@ -83,17 +83,25 @@ def _bridge(spark: SparkSession, folder: str) -> DataFrame:
     return segments.agent_lead_bridge(_log(spark, folder))
 
 
+def _rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily rates summed per agent and lead, stored: the calls are read once for
+    features and bridge."""
+    return materialize(features.agent_lead_rates(_fact(spark, folder)))
+
+
 def _by_lead(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features, an assignment with the lead as the cluster, and the bridge."""
-    bridge = _bridge(spark, folder)
+    rates = _rates(spark, folder)
+    bridge = segments.agent_lead_bridge(rates)
     assignment = bridge.select("agent_name", F.col("team_lead_name").alias("cluster"))
-    return _features(spark, folder), assignment, bridge
+    return features.features_of_rates(rates), assignment, bridge
 
 
 def _by_kmeans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features, stored for their several uses, the K-means assignment and the bridge."""
-    agents = materialize(_features(spark, folder))
-    return agents, segments.segment_kmeans(agents), _bridge(spark, folder)
+    rates = _rates(spark, folder)
+    agents = materialize(features.features_of_rates(rates))
+    return agents, segments.segment_kmeans(agents), segments.agent_lead_bridge(rates)
 
 
 def call_log(spark, folder):

@@ -120,3 +120,19 @@ def test_row_order_does_not_matter(log):
     key = lambda r: (r.call_date, r.agent_name)
     assert sorted(agent_daily_fact(again).collect(), key=key) == sorted(
         agent_daily_fact(log).collect(), key=key)
+
+
+def test_features_from_sums_by_lead(spark):
+    """An agent under two leads and a missing rate: the same means as from the fact."""
+    from opsmetrics.operators import features
+    rates = ", ".join(f"{f} double" for f in features.FEATURES)
+    rows = [("a", "x", *[0.2] * 6), ("a", "y", *[0.5] * 6), ("a", "y", None, *[0.8] * 5),
+            ("b", "x", *[None] * 6)]
+    fact = spark.createDataFrame(rows, f"agent_name string, team_lead_name string, {rates}")
+    whole = {r.agent_name: r for r in features.agent_features(fact).collect()}
+    summed = features.features_of_rates(features.agent_lead_rates(fact)).collect()
+    assert len(summed) == 2
+    for r in summed:
+        for f in features.FEATURES:
+            expected = whole[r.agent_name][f]
+            assert r[f] is None if expected is None else r[f] == pytest.approx(expected)

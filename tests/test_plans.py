@@ -67,3 +67,19 @@ def test_single_partition_only_above_bounded_tables(log):
 def test_top_n_without_a_global_sort(log):
     text = plan(ranking.lump_agents(log, 3))
     assert "TakeOrderedAndProject" in text and "l_suppkey" not in text
+
+
+def test_segments_read_the_calls_once(spark, monkeypatch):
+    """One scan when the rates are stored, none in what is built on them."""
+    stored = []
+
+    def keep(df, write=registry.materialize):
+        stored.append(plan(df))
+        return write(df)
+
+    monkeypatch.setattr(registry, "materialize", keep)
+    for query in (registry.segment_quality, registry.segment_profile_by_lead):
+        stored.clear()
+        text = plan(query(spark, FOLDER))
+        assert "l_suppkey" not in text
+        assert [t.count("lineitem.parquet") for t in stored] == [1]

@@ -132,3 +132,18 @@ def test_one_series_is_fitted_in_several_groups(spark):
     plan = smooth.loess(days)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_block" in plan
     assert smooth.loess(days.limit(0)).collect() == []
+
+
+def test_band_takes_the_t_quantile_unless_told(spark):
+    known = [(3.0, 3.18245), (5.0, 2.57058), (10.0, 2.22814), (30.0, 2.04227)]
+    rows = spark.createDataFrame(known, "freedom double, t double").withColumn(
+        "found", smooth.t_quantile(smooth.Z_95, "freedom")).collect()
+    for r in rows:
+        assert r.found == pytest.approx(r.t, rel=2e-3 if r.freedom < 5 else 2e-4)
+    days = spark.sql("SELECT date_add(DATE'2017-01-01', CAST(id AS int)) AS call_date, "
+                     "CAST(id * id % 17 AS double) AS calls FROM range(40)")
+    by_t, by_z, wider = (smooth.loess(days, span=0.5, **z).orderBy("call_date").collect()
+                         for z in ({}, {"z": 1.96}, {"z": 3.92}))
+    for t, one, two in zip(by_t, by_z, wider):
+        assert t.smooth == one.smooth and t.upper > one.upper
+        assert two.upper - two.smooth == pytest.approx(2 * (one.upper - one.smooth))
