@@ -324,6 +324,36 @@ def test_lm_scores_match_plain_counts(spark, odd, none, monkeypatch):
     assert lm_scores.corpus_scores(none, bits=12).count() == 0
 
 
+@pytest.mark.parametrize("order, least", [(1, 2), (2, 2), (3, 2), (3, 3)])
+def test_lm_scores_match_counts_of_words(spark, order, least):
+    """Counts by the words themselves, of more words than a table of 2 ** 20 keeps apart."""
+    random.seed(31)
+    texts = {i: prose(i, random.randrange(0, 40), 25) for i in range(40)}
+    texts |= {100 + i: " ".join(f"x{i * 3000 + k}" for k in range(3000)) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    count = {}
+    for t in texts.values():
+        w = t.split()
+        for size in range(1, order + 1):
+            for gram in zip(*(w[k:] for k in range(size))):
+                count[gram] = count.get(gram, 0) + 1
+    total = sum(n for gram, n in count.items() if len(gram) == 1)
+
+    def score(gram):
+        if len(gram) == 1:
+            return np.log(count[gram] / total)
+        if count[gram] >= least:
+            return np.log(count[gram] / count[gram[:-1]])
+        return np.log(0.4) + score(gram[1:])
+
+    found = lm_scores.corpus_scores(docs, heavy=50, least=least, order=order).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        w = texts[r.doc_id].split()
+        whole = sum(score(tuple(w[max(0, i + 1 - order):i + 1])) for i in range(len(w)))
+        assert r.n_words == len(w) and r.total == pytest.approx(whole)
+
+
 def labelled(spark, make):
     docs = [(i, make(i, i % 2), "s", None, None) for i in range(240)]
     labels = [(i, i % 2) for i in range(240)] + [(7, None), (None, 1)]
