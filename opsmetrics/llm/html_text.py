@@ -1,9 +1,10 @@
 """Main text of web pages: page structure, and subtrees that a site repeats.
 
 A page is parsed into elements. Elements that are no part of an article by their tag,
-class, id or role are dropped. What is left outside an article element is compared across
-the pages of its host: each element's subtree is hashed, Spark counts on how many pages of
-the host a hash occurs, and subtrees that recur across many of them are dropped.
+class, id or role are dropped. What is left, in an article element or not, is compared across
+the pages of its host and of its section there, the first folder of the path: each element's
+subtree is hashed, Spark counts on how many pages of a site a hash occurs, and subtrees that
+recur across many of them are dropped. Pages of the same main text count as one.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ _NAME_PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 MIN_PAGES = 10
+FEW_PAGES = 3
 MIN_SHARE = 0.5
 
 
@@ -151,7 +153,10 @@ def _find(element: Element, tags: tuple[str, ...], found: list[Element]) -> list
 
 def content(html: str) -> list[Element]:
     """The articles of a page, else its main element, else the whole page."""
-    root = parse(html)
+    return _content(parse(html))
+
+
+def _content(root: Element) -> list[Element]:
     return (_find(root, ("article",), []) or _find(root, ("main",), []) or [root])
 
 
@@ -193,19 +198,17 @@ def subtrees(root: Element):
                     yield node, value
 
 
-def page_hashes(html: str) -> set[int]:
-    """Hashes of the subtrees a site may repeat; pages with an article element have none,
-    as its text is kept whole."""
-    roots = content(html)
-    if roots[0].tag == "article":
-        return set()
-    return {value for root in roots for _, value in subtrees(root)}
+def page_hashes(html: str) -> tuple[int | None, set[int]]:
+    """A hash of the page's main text (None without any), and hashes of all its subtrees."""
+    root = parse(html)
+    main = [str(value) for part in _content(root) for _, value in subtrees(part)]
+    return (_digest(main) if main else None), {value for _, value in subtrees(root)}
 
 
 def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the article in page order, joined by newlines."""
     roots = content(html)
-    if templates and roots[0].tag != "article":
+    if templates:
         for root in roots:
             for element, value in list(subtrees(root)):
                 if value in templates:
@@ -232,14 +235,18 @@ def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) ->
     return "\n".join(blocks)
 
 
-_HASHES = pa.schema([("host", pa.string()), ("hashes", pa.list_(pa.int64()))])
+_HASHES = pa.schema([("host", pa.string()), ("site", pa.string()), ("main", pa.int64()),
+                     ("hashes", pa.list_(pa.int64()))])
 
 
 def _hash_pages(batches):
     for batch in slices(batches, "html"):
-        hashes = [sorted(page_hashes(html)) for html in texts_of(batch.column("html"))]
+        found = [page_hashes(html) for html in texts_of(batch.column("html"))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array(hashes, _HASHES.types[1])], schema=_HASHES)
+            [batch.column("host"), batch.column("site"),
+             pa.array([main for main, _ in found], pa.int64()),
+             pa.array([sorted(hashes) for _, hashes in found], _HASHES.types[3])],
+            schema=_HASHES)
 
 
 def _extract(batches):
@@ -253,19 +260,27 @@ def _extract(batches):
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES,
-                   min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, hash`` of the subtrees on at least ``min_pages`` pages and ``min_share`` of
-    the pages of their host. ``pages`` has ``host, html``. A subtree counts once a page, and
-    counts are summed in the tasks before anything moves, so a hot host is no hot key."""
-    seen = pages.mapInArrow(_hash_pages, "host string, hashes array<bigint>")
+                   min_share: float = MIN_SHARE, few_pages: int = FEW_PAGES) -> DataFrame:
+    """``site, hash`` of the subtrees on at least ``min_pages`` pages and ``min_share`` of
+    the pages of their site; on a site of fewer pages, of those on all of them if there are
+    ``few_pages``. ``pages`` has ``host, site, html``; a page counts for both. Pages of the
+    same main text are one page, pages without any are none. A subtree counts once a page,
+    and counts are summed in the tasks before anything moves, so a hot host is no hot key."""
+    seen = (pages.mapInArrow(_hash_pages,
+                             "host string, site string, main bigint, hashes array<bigint>")
+            .filter("main IS NOT NULL").groupBy("host", "site", "main")
+            .agg(F.min("hashes").alias("hashes")))
     numbers = materialize(
-        seen.select("host", F.explode(F.concat(
+        seen.select(F.explode(F.array_distinct(F.array("host", "site"))).alias("site"), "hashes")
+        .select("site", F.explode(F.concat(
             F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash"))
-        .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")))
-    totals = numbers.filter("hash IS NULL").select("host", F.col("pages").alias("of"))
-    return (numbers.filter(f"hash IS NOT NULL AND pages >= {int(min_pages)}")
-            .join(totals, "host").filter(F.col("pages") >= min_share * F.col("of"))
-            .select("host", "hash"))
+        .groupBy("site", "hash").agg(F.count(F.lit(1)).alias("pages")))
+    totals = numbers.filter("hash IS NULL").select("site", F.col("pages").alias("of"))
+    return (numbers.filter(f"hash IS NOT NULL AND pages >= {int(min(min_pages, few_pages))}")
+            .join(totals, "site")
+            .filter((F.col("pages") >= F.least(F.lit(min_pages), "of"))
+                    & (F.col("pages") >= min_share * F.col("of")))
+            .select("site", "hash"))
 
 
 def extract_text(pages: DataFrame, row_id: str = "page_id", min_pages: int = MIN_PAGES,
@@ -273,23 +288,28 @@ def extract_text(pages: DataFrame, row_id: str = "page_id", min_pages: int = MIN
     """``row_id, url, text, n_chars`` of every row of ``pages``.
 
     The text is that of the article elements, else of the main element, else of the page,
-    without elements dropped by tag, role, class or id and, where there is no article
-    element, without the subtrees that recur on the host. Character references are
+    without elements dropped by tag, role, class or id and without the subtrees that recur
+    on the host or, of URLs with a folder, on the first folder. Character references are
     decoded, white space inside a block becomes one space, blocks are trimmed and joined
     by newlines. Null or empty HTML gives an empty text; a null URL belongs to the host
     with the empty name. Rows stay rows, also repeated ones and those with a null id. No
     rows give none. Other columns are not read. This runs jobs.
 
-    The templates of a host are no more than 1 / ``min_share`` times the subtrees of its
-    average page, so they go to its pages as one array.
+    The templates of a host or section are no more than 1 / ``min_share`` times the subtrees
+    of its average page, so they go to its pages as one array.
     """
-    host, _ = url_parts("url")
-    rows = pages.select(F.col(row_id).alias("_row"), "url", "html").withColumn("host", host)
+    host, path = url_parts("url")
+    folder = F.regexp_extract(path, "^/([^/]+)/", 0)
+    rows = (pages.select(F.col(row_id).alias("_row"), "url", "html").withColumn("host", host)
+            .withColumn("site", F.concat("host", folder)))
+    found = materialize(
+        site_templates(rows.select("host", "site", "html"), min_pages, min_share))
+    sites = rows.select("host", "site").distinct()
+    of_host = sites.join(found.withColumnRenamed("site", "host"), "host").select("site", "hash")
     templates = materialize(
-        site_templates(rows.select("host", "html"), min_pages, min_share)
-        .groupBy("host").agg(F.collect_list("hash").alias("_templates"))
-        .withColumnRenamed("host", "_host"))
-    joined = (rows.join(templates, F.col("host") == F.col("_host"), "left")
+        of_host.union(found).groupBy("site").agg(F.collect_set("hash").alias("_templates"))
+        .withColumnRenamed("site", "_site"))
+    joined = (rows.join(templates, F.col("site") == F.col("_site"), "left")
               .select("_row", "url", "html", "_templates"))
     of_row = rows.schema["_row"].dataType.simpleString()
     return (joined.mapInArrow(_extract, f"_row {of_row}, url string, text string, n_chars bigint")

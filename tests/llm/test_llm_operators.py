@@ -324,6 +324,23 @@ def test_lm_scores_match_plain_counts(spark, odd, none, monkeypatch):
     assert lm_scores.corpus_scores(none, bits=12).count() == 0
 
 
+def test_site_templates_go_from_articles_small_hosts_and_sections(spark):
+    page = "<nav>N</nav><article><p>Own {0}</p><div class=x1>{1}</div><p>End {0}</p></article>"
+    rows = [(i, f"http://big.org/{i}", page.format(i, "Share this")) for i in range(30)]
+    rows += [(100 + i, f"http://small.org/{i}", page.format(i, "We use crumbs")) for i in range(4)]
+    rows += [(200 + i, f"http://cut.org/{'news' if i < 12 else 'shop'}/{i}", page.format(
+        i, "News only" if i < 12 else f"Shop {i}")) for i in range(40)]
+    rows += [(300 + i, "http://copy.org/a", page.format(1, "Kept")) for i in range(20)]
+    rows += [(400 + i, f"http://two.org/{i}", page.format(i, "Kept")) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for start, n in ((0, 30), (100, 4), (200, 12)):
+        assert [found[start + i] for i in range(n)] == [f"Own {i}\nEnd {i}" for i in range(n)]
+    assert all(found[200 + i] == f"Own {i}\nShop {i}\nEnd {i}" for i in range(12, 40))
+    assert all(found[300 + i] == "Own 1\nKept\nEnd 1" for i in range(20))
+    assert all(found[400 + i] == f"Own {i}\nKept\nEnd {i}" for i in range(2))
+
+
 @pytest.mark.parametrize("order, least", [(1, 2), (2, 2), (3, 2), (3, 3)])
 def test_lm_scores_match_counts_of_words(spark, order, least):
     """Counts by the words themselves, of more words than a table of 2 ** 20 keeps apart."""
