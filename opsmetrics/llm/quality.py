@@ -23,6 +23,7 @@ OWN = 16
 FEATURES = 3 * OWN + 3
 SAMPLE_DOCS = 3000
 SAMPLE_LINES = 60_000
+DOC_LINES = 1000
 
 # Classes of code points below 128; all beyond count as letters.
 _LETTER, _UPPER, _DIGIT, _MARK, _STOP = 1, 2, 4, 8, 16
@@ -280,26 +281,46 @@ def fit_chain(features: np.ndarray, weight: np.ndarray, text: np.ndarray, labels
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
-                sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model | None:
+                sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES,
+                doc_lines: int = DOC_LINES) -> Model | None:
     """Fit on labelled documents outside the held-out fold.
 
     The fit is on a sample: at most ``sample_docs`` documents in the order of a hash of the
-    id, and of them as many as together have ``sample_lines`` lines. Rows with a null
-    label, id or text teach nothing. Without both labels there is no model (None).
+    id, and of them as many as together have ``sample_lines`` lines. A text of more than
+    ``doc_lines`` lines teaches by so many neighbouring ones, from a place its hash gives,
+    and texts that share an id as far as they have ``doc_lines`` together; equal ones teach
+    once. So no document uses up the sample. Lines are counted first, and only the texts
+    taken move on. Rows with a null label, id or text teach nothing. Without both labels
+    there is no model (None).
     """
+    doc_lines = min(doc_lines, sample_lines)
     truth = (labels.filter(F.col(label).isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")))
-    first = Window.orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = (Window.unboundedPreceding, 0)
+    of_id = Window.partitionBy("doc_id").orderBy("_key").rowsBetween(*so_far)
+    of_all = Window.orderBy("_order", "doc_id", "_key").rowsBetween(*so_far)
     chosen = (truth.withColumn("_order", F.xxhash64(F.col("doc_id").cast("string")))
               .orderBy("_order", "doc_id").limit(sample_docs))
-    rows = (
+    texts = (
         docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-        .withColumn("_lines", F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-        .withColumn("_upto", F.sum("_lines").over(first))
-        .filter(F.col("_upto") <= sample_lines)
-        .select("doc_id", "text", "_label"))
+        .withColumn("_key", F.xxhash64("text"))
+        .withColumn("_lines", F.length("text") - F.length(F.translate("text", "\n", "")) + 1))
+    taken = (
+        texts.select("doc_id", "_order", "_key", F.least("_lines", F.lit(doc_lines)).alias("_size"))
+        .dropDuplicates(["doc_id", "_key"])
+        .withColumn("_own", F.sum("_size").over(of_id)).filter(F.col("_own") <= doc_lines)
+        .withColumn("_upto", F.sum("_size").over(of_all)).filter(F.col("_upto") <= sample_lines)
+        .select("doc_id", "_key"))
+    place = F.pmod(F.col("_key"), F.col("_lines") - doc_lines + 1).cast("int") + 1
+    part = F.array_join(F.slice(F.split("text", "\n"), place, doc_lines), "\n")
+    rows = (
+        texts.join(F.broadcast(taken), ["doc_id", "_key"])
+        .select("doc_id", "_key", "_label", F.when(F.col("_lines") > doc_lines, part)
+                .otherwise(F.col("text")).alias("text"))
+        .dropDuplicates(["doc_id", "_key"]).select("doc_id", "text", "_label"))
     described = rows.mapInArrow(
         _describe, "label int, size int, features binary, weight binary").collect()
+    described.sort(key=lambda r: (bytes(r.features), r.label))
     labels_seen = np.array([r.label for r in described], float)
     if len(set(labels_seen)) < 2:
         return None

@@ -395,6 +395,23 @@ def test_quality_learns_lines(spark, odd, none):
     assert {r.score for r in quality.score_quality(odd, None).collect()} == {0.5}
 
 
+def test_quality_sample_outlives_a_long_document(spark):
+    """A labelled document of more lines than the sample, first in the order of the sample."""
+    docs, labels = labelled(spark, lambda i, good: "\n".join(
+        prose(i * 9 + k, 12) + ("." if good else " ### $$$") for k in range(1 + i % 5)))
+    first = [r.doc_id for r in labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").orderBy(
+        F.xxhash64(F.col("doc_id").cast("string"))).collect()][:3]
+    long = docs.withColumn("text", F.when(F.col("doc_id").isin(first), F.repeat(
+        F.concat("text", F.lit("\n")), 700)).otherwise(F.col("text")))
+    model = quality.fit_quality(long, labels, "label", sample_lines=600, doc_lines=50)
+    assert model is not None
+    assert accuracy(quality.score_quality(docs, model)) > 0.97
+    again = docs.union(docs.filter(F.col("doc_id") == first[0]).withColumn(
+        "text", F.explode(F.transform(F.sequence(F.lit(1), F.lit(900)), lambda n: F.concat(
+            "text", n.cast("string"))))).select(docs.columns))
+    assert quality.fit_quality(again, labels, "label", sample_lines=600, doc_lines=50) is not None
+
+
 def test_chain_marginals_match_enumeration():
     random.seed(11)
     emission = np.array([random.gauss(0, 1) for _ in range(9)])
