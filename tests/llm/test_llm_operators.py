@@ -485,3 +485,36 @@ def test_scan_and_redact(spark, odd, none):
     assert secret_scan.redact(odd, net).count() == secret_scan.scan(odd, None).count() == len(ODD)
     assert secret_scan.scan(none, net).count() == 0 and secret_scan.fit_network(none) is None
     assert secret_scan.redact(odd, net).filter(F.col("doc_id") == 1).first().text is None
+
+
+def test_network_limit_keeps_the_recall():
+    """Positives and negatives that look alike: the limit follows the recall below 0.9."""
+    random.seed(41)
+    spans = [(0, 20)]
+    classes = np.concatenate([secret_scan.windows(
+        "".join(random.choice("ab12") for _ in range(20)), spans) for _ in range(400)])
+    target = np.array([i % 2 for i in range(400)], float)
+    net = secret_scan.train(classes, target, epochs=2)
+    secret_scan.calibrate(net, classes, target)
+    found = net.scores(classes)[target > 0] >= net.limit
+    assert found.mean() >= 0.99 and net.recall == found.mean() and net.limit < 0.9
+
+
+class Digits(secret_scan.Network):
+    """Calls a window with eight digits in its middle a secret."""
+
+    def scores(self, classes):
+        inside = classes[:, secret_scan.AROUND:secret_scan.AROUND + secret_scan.INSIDE]
+        return ((inside == secret_scan._TABLE[ord("1")]).sum(axis=1) >= 8).astype(float)
+
+
+def test_candidates_are_judged_whole_and_beside_base_findings():
+    net = Digits(None, None, None, 0.0, limit=0.5)
+    long = "q" * 60 + "12345678" + "z" * 60
+    text = f"x {long} y"
+    assert secret_scan._spans_of(text, net)[1] == [(2, 2 + len(long), "network")]
+    key = f"Zq7{KEY}Xk29"
+    text = f"see {key}, or token={KEY}"
+    spans = secret_scan._spans_of(text, net)[1]
+    assert secret_scan._without(text, spans, "*") == "see ***, or *"
+    assert [k for _, _, k in spans] == ["network", "hex", "network", "assign", "hex"]
