@@ -57,15 +57,17 @@ def grams(texts: list[str], alive: np.ndarray | None = None,
 
 @dataclass
 class Model:
-    """Weight times ratio of every bucket (0 where unused), the offset, and the scale of
-    the decision."""
+    """Weight times ratio of every bucket (0 where unused), the offset, the scale of the
+    decision, and which buckets are selected: all of them count for the length of a text,
+    those without weight too, as in the fit."""
 
     weights: np.ndarray
     bias: float
-    scale: tuple[float, float] = (1.0, 0.0)
+    scale: tuple[float, float]
+    selected: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        text, bucket = grams(texts, self.weights != 0)
+        text, bucket = grams(texts, self.selected)
         z = _decisions(text, self.weights[bucket], len(texts)) + self.bias
         return _logistic(self.scale[0] * z + self.scale[1])
 
@@ -171,7 +173,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic",
         scale = fit_scale(z + bias, target)
     table = np.zeros(BUCKETS, np.float32)
     table[bucket] = weights
-    return Model(table, float(bias), scale)
+    selected = np.zeros(BUCKETS, bool)
+    selected[bucket] = True
+    return Model(table, float(bias), scale, selected)
 
 
 def fit_scale(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:

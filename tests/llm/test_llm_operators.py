@@ -445,6 +445,25 @@ def test_toxicity_learns_words(spark, odd, none):
     assert toxicity.drop_toxic(odd, None).count() == len(ODD)
 
 
+def test_toxicity_scores_count_the_buckets_of_the_fit(spark, monkeypatch):
+    """Regression on 20 of 240 documents, so that most selected buckets get no weight: the
+    decisions that set the scale are those that texts are scored by."""
+    docs, labels = labelled(spark, lambda i, bad: prose(i, 30) + (" Blarg!" if bad else " fine"))
+    seen = {}
+
+    def fit_scale(z, target):
+        seen["z"] = z
+        return 1.0, 0.0
+
+    monkeypatch.setattr(toxicity, "fit_scale", fit_scale)
+    model = toxicity.fit_toxicity(docs, labels, "label", sample_docs=20)
+    assert (model.weights[model.selected] == 0).any()
+    z = {r.doc_id: np.log(r.score / (1 - r.score))
+         for r in toxicity.score_toxicity(docs, model).collect()}
+    assert len(seen["z"])
+    assert all(np.abs(np.array(list(z.values())) - value).min() < 1e-5 for value in seen["z"])
+
+
 KEY = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
 
 
