@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsmetrics.llm import (
     decontamination, html_text, lm_scores, mixing, near_dedup, quality, search, secret_scan,
-    toxicity, url_rules)
+    shingle_join, spelling, toxicity, url_rules)
 from opsmetrics.llm.tables import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 SHINGLE_WORDS, NEAR_PERCENT = 3, 85
+JOIN_WORDS, JOIN_PERCENT = 5, 80
 QUALITY_LIMIT, TOXIC_LIMIT = 0.3, 0.5
 
 
@@ -80,10 +81,20 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit_network(docs))
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(read(spark, folder, "documents")))
+
+
+def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.linked_documents(read(spark, folder, "documents"), JOIN_WORDS,
+                                         JOIN_PERCENT)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_quality, op2_toxicity, op3_mixing, op4_decontamination, op5_search, op6_url_rules,
-        op7_html_text, op8_lm_scores, op9_near_dedup, op10_secret_scan)}
+        op7_html_text, op8_lm_scores, op9_near_dedup, op10_secret_scan,
+        op12_spelling, op13_ngram_join)}
 
 _MIX = rf"""
 WITH sized AS (
@@ -171,8 +182,9 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)"""
 
-_NEAR = rf"""
-WITH RECURSIVE words AS (
+def _linked(size: int, percent: int, columns: str) -> str:
+    """SQL of links between sets of shingles, and what their components say."""
+    return rf"""WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
@@ -180,9 +192,9 @@ shingles AS MATERIALIZED (
   SELECT DISTINCT doc_id, s FROM (
     SELECT doc_id, unnest(CASE
       WHEN len(w) = 0 THEN []
-      WHEN len(w) < {SHINGLE_WORDS} THEN [array_to_string(w, ' ')]
-      ELSE [array_to_string(w[i : i + {SHINGLE_WORDS - 1}], ' ')
-            FOR i IN range(1, len(w) - {SHINGLE_WORDS - 2})] END) AS s
+      WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+      ELSE [array_to_string(w[i : i + {size - 1}], ' ')
+            FOR i IN range(1, len(w) - {size - 2})] END) AS s
     FROM words)),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
@@ -191,7 +203,7 @@ common AS (
   GROUP BY a.doc_id, b.doc_id),
 pairs AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * i >= {NEAR_PERCENT} * (x.n + y.n - i)),
+  WHERE 100 * i >= {percent} * (x.n + y.n - i)),
 links AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(a, b) AS (
   SELECT a, b FROM links
@@ -199,9 +211,63 @@ reach(a, b) AS (
   SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles,
-  least(d.doc_id, coalesce(b, d.doc_id)) AS component_id,
-  least(d.doc_id, coalesce(b, d.doc_id)) = d.doc_id AS kept
+  least(d.doc_id, coalesce(b, d.doc_id)) AS component_id{columns}
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = d.doc_id"""
 
+
+_NEAR = _linked(SHINGLE_WORDS, NEAR_PERCENT,
+                ", least(d.doc_id, coalesce(b, d.doc_id)) = d.doc_id AS kept")
+_JOINED = _linked(JOIN_WORDS, JOIN_PERCENT, "")
+
+_SPELLING = r"""
+WITH RECURSIVE sums AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, b:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+texts AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS name, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{C0}-\x{FF}]+') AS runs
+  FROM documents),
+runs AS MATERIALIZED (
+  SELECT name, run, count(*) AS n FROM (SELECT name, unnest(runs) AS run FROM texts)
+  WHERE length(run) >= 5 GROUP BY name, run),
+summed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295],
+    flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END
+             FOR x IN string_split(name || ':' || run, '')])),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h
+  FROM runs, sums),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT))
+      || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (
+    SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b
+    ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON less = words.word
+  UNION SELECT words.word, cut.word FROM cut JOIN words ON less = words.word),
+ranked AS (
+  SELECT a, b, w.n, count(*) OVER (PARTITION BY a) AS n_near,
+    row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS place
+  FROM near JOIN words w ON b = w.word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN r.n >= 2 * w.n THEN b END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = a AND place = 1),
+led(word, root) AS (
+  SELECT word, word FROM forms
+  UNION ALL
+  SELECT led.word, form FROM led JOIN forms ON forms.word = led.root WHERE form IS NOT NULL)
+SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN led ON led.word = f.word JOIN forms g ON g.word = led.root
+WHERE g.form IS NULL"""
+
 ORACLE = {"op3_mixing": _MIX, "op5_search": _SEARCH, "op6_url_rules": _URLS,
-          "op9_near_dedup": _NEAR}
+          "op9_near_dedup": _NEAR, "op12_spelling": _SPELLING,
+          "op13_ngram_join": _JOINED}
