@@ -32,16 +32,16 @@ from opsmetrics.llm.components import smallest_reachable
 from opsmetrics.llm.tables import materialize
 from opsmetrics.llm.text import WORD_FACTOR, mix, shingle_sets, slices, texts_of
 
-# At most so many shingles are known to be frequent, 16 bytes each.
+# At most so many shingles are known to be frequent, 16 bytes each; bits of the filter.
 FREQUENT = 1 << 20
+FILTER = 1 << 26
 CHUNK = 1 << 21
 BLOCK = 1024
 PAIRS_SENT = 1 << 16
 
 _DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
-                        ("class", pa.int64()), ("shingle", pa.int64()), ("often", pa.int64())])
-_SETS = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()),
-                   ("shingles", pa.list_(pa.int64()))])
+                        ("class", pa.int64()), ("bits", pa.binary()),
+                        ("shingle", pa.int64()), ("often", pa.int64())])
 _TILE = ["shingle", "tile", "left", "right"]
 
 
@@ -88,22 +88,25 @@ def _slices_of_sets(batches, size: int):
         yield batch.column("doc_id"), shingle_sets(texts_of(batch.column("text")), size)
 
 
-def _describe(batches, size: int):
-    """Doc_id, set size and class of each row. Then the shingles that several distinct sets
-    of a chunk have, with their number: what many documents have is in more sets than there
-    are chunks, so in several of one chunk."""
+def _describe(batches, size: int, percent: int):
+    """Doc_id, set size and class of each row, and the signature with the first named row
+    of a class in a chunk. Then the shingles that several distinct sets of a chunk have, with
+    their number: what many documents have is in more sets than there are chunks, so in
+    several of one chunk."""
     known, held, there = set(), [], 0
     for ids, sets in _slices_of_sets(batches, size):
-        classes = [class_of(s) for s in sets]
-        none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()),
-             none, none], schema=_DESCRIBED)
-        for name, shingles in zip(classes, sets):
-            if name not in known:
+        classes, signs = [class_of(s) for s in sets], []
+        for doc_id, name, shingles in zip(ids.to_pylist(), classes, sets):
+            new = doc_id is not None and len(shingles) and name not in known
+            signs.append(signature(shingles, width_of(len(shingles), percent)) if new else None)
+            if new:
                 known.add(name)
                 held.append(shingles)
                 there += len(shingles)
+        none = pa.nulls(len(sets), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()),
+             pa.array(signs, pa.binary()), none, none], schema=_DESCRIBED)
         if there >= CHUNK:
             yield _often(held)
             known, held, there = set(), [], 0
@@ -116,7 +119,8 @@ def _often(held: list[np.ndarray]) -> pa.RecordBatch:
     shingles, number = shingles[number > 1], number[number > 1]
     none = pa.nulls(len(shingles), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [none, none, none, pa.array(shingles.view(np.int64)), pa.array(number.astype(np.int64))],
+        [none, none, none, pa.nulls(len(shingles), pa.binary()),
+         pa.array(shingles.view(np.int64)), pa.array(number.astype(np.int64))],
         schema=_DESCRIBED)
 
 
@@ -152,14 +156,17 @@ def _post(batches, size: int, percent: int, frequent: np.ndarray, numbers: np.nd
                 names=["class", "shingle"])
 
 
-def _sets(batches, size: int, percent: int):
-    for _, sets in _slices_of_sets(batches, size):
-        full = [s for s in sets if len(s)]
-        columns = [[class_of(s) for s in full], [len(s) for s in full],
-                   [signature(s, width_of(len(s), percent)) for s in full],
-                   [s.view(np.int64) for s in full]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, _SETS.types)], schema=_SETS)
+def _sets(batches, size: int, filter_: np.ndarray):
+    """(class, shingles) of the rows whose place in the filter is marked."""
+    for batch in batches:
+        slot = batch.column("slot").to_numpy(zero_copy_only=False)
+        marked = filter_[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)
+        for _, sets in _slices_of_sets([batch.filter(pa.array(marked.astype(bool)))], size):
+            full = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([class_of(s) for s in full], pa.int64()),
+                 pa.array([s.view(np.int64) for s in full], pa.list_(pa.int64()))],
+                names=["class", "shingles"])
 
 
 def _within(apart, total, percent: int):
@@ -245,37 +252,34 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80,
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     described = materialize(source.mapInArrow(
-        partial(_describe, size=size),
-        "doc_id bigint, n_shingles bigint, class bigint, shingle bigint, often bigint"))
+        partial(_describe, size=size, percent=percent),
+        "doc_id bigint, n_shingles bigint, class bigint, bits binary, shingle bigint, "
+        "often bigint"))
     rows = described.filter("class IS NOT NULL").select("doc_id", "n_shingles", "class")
-    classes = materialize(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-                          .groupBy("class").agg(F.min("doc_id").alias("rep")))
+    classes = materialize(
+        described.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
+             F.first("bits", ignorenulls=True).alias("bits")))
     frequent, numbers = _frequent(described)
 
     named = source.filter("doc_id IS NOT NULL")
-    by_shingle = Window.partitionBy("shingle")
-    shared = materialize(
-        named.mapInArrow(partial(_post, size=size, percent=percent, frequent=frequent,
-                                 numbers=numbers), "class bigint, shingle bigint")
-        .repartition("shingle").dropDuplicates(["shingle", "class"])
-        .withColumns({"hub": F.min("class").over(by_shingle),
-                      "most": F.max("class").over(by_shingle)})
-        .filter("hub <> most").drop("most"))
-
-    wanted = (shared.select("class").distinct().join(classes, "class")
-              .select(F.col("rep").alias("doc_id")).distinct())
-    sets = materialize(
-        named.hint("merge").join(wanted, "doc_id", "left_semi")
-        .mapInArrow(partial(_sets, size=size, percent=percent),
-                    "class bigint, n bigint, bits binary, shingles array<bigint>")
-        .dropDuplicates(["class"]))
-
-    hubs = _signed(shared.filter("class <> hub").select(
-        F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), sets)
-    links = materialize(_verified(hubs.mapInArrow(partial(_promising, percent=percent),
-                                                  "a bigint, b bigint"), sets, percent))
+    firsts = named.mapInArrow(
+        partial(_post, size=size, percent=percent, frequent=frequent, numbers=numbers),
+        "class bigint, shingle bigint").repartition("shingle")
+    ends = (firsts.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("_most"))
+            .filter("hub <> _most").drop("_most"))
+    shared = materialize(firsts.join(ends.hint("shuffle_hash"), "shingle")
+                         .dropDuplicates(["shingle", "class"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialize(_verified(*_with_sets(pairs, classes, named, size), percent))
+
+    hubs = shared.filter("class <> hub").select(
+        F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    links = verified(_signed(hubs, classes).mapInArrow(
+        partial(_promising, percent=percent), "a bigint, b bigint"))
     parts = materialize(smallest_reachable(links))
-    across = materialize(_verified(_apart(shared, parts, sets, percent, block), sets, percent))
+    across = verified(_apart(shared, parts, classes, percent, block))
     if not across.isEmpty():
         parts = materialize(smallest_reachable(across.union(parts.toDF("a", "b"))))
 
@@ -302,14 +306,39 @@ def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], table.column("often").to_numpy()[order]
 
 
-def _signed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _signed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for side in "ab":
-        pairs = pairs.hint("merge").join(sets.select(
+        pairs = pairs.hint("merge").join(classes.select(
             F.col("class").alias(side), F.col("n").alias(f"n_{side}"),
             F.col("bits").alias(f"bits_{side}")), side)
     return pairs
 
 
+def _with_sets(pairs: DataFrame, classes: DataFrame, named: DataFrame,
+               size: int) -> tuple[DataFrame, DataFrame]:
+    """The stored pairs, and the sets of the classes in them. Texts are not shuffled for
+    that: a filter of a fixed number of bits says which ids are wanted, and the few other
+    rows it lets through have other classes."""
+    pairs = materialize(pairs)
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+                         .join(classes.select("class", "rep"), "class"))
+
+    def slot(doc_id: str):
+        return F.pmod(F.xxhash64(doc_id), F.lit(FILTER))
+
+    marks = (
+        wanted.select(slot("rep").alias("slot")).groupBy(F.shiftright("slot", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits")).toArrow())
+    filter_ = np.zeros(FILTER >> 6, np.uint64)
+    filter_[marks.column("at").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    sets = (
+        named.select("doc_id", "text", slot("doc_id").alias("slot"))
+        .mapInArrow(partial(_sets, size=size, filter_=filter_),
+                    "class bigint, shingles array<bigint>")
+        .join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    return pairs, materialize(sets)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that are linked, by intersecting their sorted sets."""
     for side in "ab":
@@ -320,7 +349,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_within(apart, total, percent)).select("a", "b")
 
 
-def _apart(shared: DataFrame, parts: DataFrame, sets: DataFrame, percent: int,
+def _apart(shared: DataFrame, parts: DataFrame, classes: DataFrame, percent: int,
            block: int) -> DataFrame:
     """Promising pairs of classes with a first shingle in common that no link connects yet,
     tile by tile."""
@@ -332,7 +361,7 @@ def _apart(shared: DataFrame, parts: DataFrame, sets: DataFrame, percent: int,
         .withColumn("open", F.col("part") != main)
         .withColumn("any", F.max("open").over(by_shingle)).filter("any").drop("any"))
     banded = (
-        known.join(sets.select("class", "n"), "class")
+        known.join(classes.select("class", "n"), "class")
         .withColumn("band", band_of(F.col("n"), percent))
         .select("shingle", "class", "part", "open", "n", F.explode(F.array(
             F.struct(F.col("band").alias("tile"), F.lit(False).alias("upper")),
@@ -360,6 +389,6 @@ def _apart(shared: DataFrame, parts: DataFrame, sets: DataFrame, percent: int,
         F.col("number").alias("right"))
     return (
         left.union(right.select(left.columns))
-        .join(sets.select("class", "bits"), "class")
+        .join(classes.select("class", "bits"), "class")
         .repartition(*_TILE).sortWithinPartitions(*_TILE)
         .mapInArrow(partial(_tiles, percent=percent), "a bigint, b bigint").distinct())
