@@ -140,7 +140,7 @@ def first_shingles(shingles: np.ndarray, percent: int, frequent: np.ndarray,
 
 
 def _post(batches, size: int, percent: int, frequent: np.ndarray, numbers: np.ndarray):
-    """(class, shingle) of the prefix of each distinct set of a task."""
+    """(class, shingle, place) of the prefix of each distinct set of a task."""
     known = set()
     for _, sets in _slices_of_sets(batches, size):
         classes, firsts = [], []
@@ -152,8 +152,10 @@ def _post(batches, size: int, percent: int, frequent: np.ndarray, numbers: np.nd
                 classes.append(np.full(len(firsts[-1]), name))
         if firsts:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(classes)), pa.array(np.concatenate(firsts).view(np.int64))],
-                names=["class", "shingle"])
+                [pa.array(np.concatenate(classes)), pa.array(np.concatenate(firsts).view(np.int64)),
+                 pa.array(np.concatenate([np.arange(1, len(f) + 1, dtype=np.int32)
+                                          for f in firsts]))],
+                names=["class", "shingle", "place"])
 
 
 def _sets(batches, size: int, filter_: np.ndarray):
@@ -204,9 +206,11 @@ def _tiles(batches, percent: int):
 
 
 def _of_tiles(rows: pa.RecordBatch, starts: np.ndarray, percent: int):
-    names, sizes, parts, bands, opens = [
+    names, sizes, places, parts, bands, opens = [
         rows.column(c).to_numpy(zero_copy_only=False)
-        for c in ("class", "n", "part", "upper", "open")]
+        for c in ("class", "n", "place", "part", "upper", "open")]
+    # The first shingle that two sets have in common has so many after it in each at least.
+    after = sizes - places + 1
     bits = rows.column("bits")
     found, there = [], 0
     for start, end in zip(starts[:-1], starts[1:]):
@@ -219,7 +223,9 @@ def _of_tiles(rows: pa.RecordBatch, starts: np.ndarray, percent: int):
         matrix = np.frombuffer(b"".join(folded(x, size) for x in signs),
                                np.uint64).reshape(len(signs), -1)
         for i in probe:
-            other = target[(parts[target] != parts[i]) & ~(bands[target] & bands[i])]
+            needed = -(-percent * (sizes[target] + sizes[i]) // (100 + percent))
+            other = target[(parts[target] != parts[i]) & ~(bands[target] & bands[i])
+                           & (np.minimum(after[target], after[i]) >= needed)]
             apart = np.bitwise_count(matrix[other - start] ^ matrix[i - start]).sum(
                 axis=1, dtype=np.int64)
             apart = np.maximum(apart, np.abs(sizes[other] - sizes[i]))
@@ -265,7 +271,7 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80,
     named = source.filter("doc_id IS NOT NULL")
     firsts = named.mapInArrow(
         partial(_post, size=size, percent=percent, frequent=frequent, numbers=numbers),
-        "class bigint, shingle bigint").repartition("shingle")
+        "class bigint, shingle bigint, place int").repartition("shingle")
     ends = (firsts.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("_most"))
             .filter("hub <> _most").drop("_most"))
     shared = materialize(firsts.join(ends.hint("shuffle_hash"), "shingle")
@@ -279,7 +285,10 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80,
     links = verified(_signed(hubs, classes).mapInArrow(
         partial(_promising, percent=percent), "a bigint, b bigint"))
     parts = materialize(smallest_reachable(links))
-    across = verified(_apart(shared, parts, classes, percent, block))
+    across = verified(
+        _tile_rows(shared, parts, classes, percent, block)
+        .repartition(*_TILE).sortWithinPartitions(*_TILE)
+        .mapInArrow(partial(_tiles, percent=percent), "a bigint, b bigint").distinct())
     if not across.isEmpty():
         parts = materialize(smallest_reachable(across.union(parts.toDF("a", "b"))))
 
@@ -349,24 +358,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_within(apart, total, percent)).select("a", "b")
 
 
-def _apart(shared: DataFrame, parts: DataFrame, classes: DataFrame, percent: int,
-           block: int) -> DataFrame:
-    """Promising pairs of classes with a first shingle in common that no link connects yet,
-    tile by tile."""
+def _first_of_equal(shared: DataFrame) -> DataFrame:
+    """Of the shingles that the same classes have, the first in the order of the sets. A pair
+    that meets at another of them meets there too, and earlier."""
+    groups = shared.groupBy("hub", "shingle").agg(
+        F.min("place").alias("place"), F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("class")).alias("same"))
+    return groups.groupBy("hub", "n", "same").agg(
+        F.min(F.struct("place", "shingle"))["shingle"].alias("shingle")).select("shingle")
+
+
+def _tile_rows(shared: DataFrame, parts: DataFrame, classes: DataFrame, percent: int,
+               block: int) -> DataFrame:
+    """The rows of the tiles: classes with a first shingle in common that no link connects
+    yet. Hubs have been compared with all others of their shingles."""
     by_shingle = Window.partitionBy("shingle")
     main = F.min(F.struct("class", "part")).over(by_shingle)["part"]
     known = (
-        shared.join(parts, F.col("class") == F.col("node"), "left")
-        .select("shingle", "class", F.coalesce("component", "class").alias("part"))
+        shared.join(_first_of_equal(shared), "shingle", "left_semi")
+        .filter("class <> hub").join(parts, F.col("class") == F.col("node"), "left")
+        .select("shingle", "class", "place", F.coalesce("component", "class").alias("part"))
         .withColumn("open", F.col("part") != main)
         .withColumn("any", F.max("open").over(by_shingle)).filter("any").drop("any"))
     banded = (
         known.join(classes.select("class", "n"), "class")
         .withColumn("band", band_of(F.col("n"), percent))
-        .select("shingle", "class", "part", "open", "n", F.explode(F.array(
+        .withColumn("_t", F.explode(F.array(
             F.struct(F.col("band").alias("tile"), F.lit(False).alias("upper")),
-            F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("upper")))).alias("_t"))
-        .select("shingle", "class", "part", "open", "n", "_t.*"))
+            F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("upper")))))
+        .select("shingle", "class", "place", "part", "open", "n", "_t.*"))
     in_tile = Window.partitionBy("shingle", "tile")
     in_order = in_tile.orderBy(F.desc("open"), "upper", "n", "class")
     numbered = (
@@ -380,15 +400,11 @@ def _apart(shared: DataFrame, parts: DataFrame, classes: DataFrame, percent: int
     def blocks(column: str):
         return F.explode(F.sequence(F.lit(0), ((F.col(column) - 1) / block).cast("int")))
 
-    kept = ["shingle", "tile", "class", "part", "n", "upper"]
+    kept = ["shingle", "tile", "class", "place", "part", "n", "upper"]
     left = numbered.filter("open").select(
         *kept, F.lit(True).alias("open"), F.col("number").alias("left"),
         blocks("all").alias("right"))
     right = numbered.select(
         *kept, F.lit(False).alias("open"), blocks("opens").alias("left"),
         F.col("number").alias("right"))
-    return (
-        left.union(right.select(left.columns))
-        .join(classes.select("class", "bits"), "class")
-        .repartition(*_TILE).sortWithinPartitions(*_TILE)
-        .mapInArrow(partial(_tiles, percent=percent), "a bigint, b bigint").distinct())
+    return left.union(right.select(left.columns)).join(classes.select("class", "bits"), "class")
