@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics.llm import (
-    decontamination, html_text, lm_scores, mixing, near_dedup, quality, search, secret_scan,
-    shingle_join, spelling, toxicity, url_rules)
+    collocations, decontamination, html_text, lm_scores, mixing, near_dedup, quality, search,
+    secret_scan, shingle_join, spelling, toxicity, url_rules)
 from opsmetrics.llm.tables import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit_network(docs))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(read(spark, folder, "documents")))
 
@@ -94,7 +98,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_quality, op2_toxicity, op3_mixing, op4_decontamination, op5_search, op6_url_rules,
         op7_html_text, op8_lm_scores, op9_near_dedup, op10_secret_scan,
-        op12_spelling, op13_ngram_join)}
+        op11_collocations, op12_spelling, op13_ngram_join)}
 
 _MIX = rf"""
 WITH sized AS (
@@ -219,6 +223,43 @@ _NEAR = _linked(SHINGLE_WORDS, NEAR_PERCENT,
                 ", least(d.doc_id, coalesce(b, d.doc_id)) = d.doc_id AS kept")
 _JOINED = _linked(JOIN_WORDS, JOIN_PERCENT, "")
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, unnest([array_to_string(w[i : i + size - 1], ' ')
+      FOR i IN range(1, len(w) - size + 2)]) AS phrase
+    FROM words, (VALUES (1), (2), (3)) s(size))
+  GROUP BY lang, size, phrase),
+long AS MATERIALIZED (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts
+  WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r,
+    (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM long) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1 : c.size], ' ')),
+lowest AS (
+  SELECT * FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a FROM long WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM long WHERE size = 3)
+  GROUP BY lang, phrase),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM lowest JOIN totals USING (lang) LEFT JOIN around USING (lang, phrase)
+WHERE size = 3 OR most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000"""
+
 _SPELLING = r"""
 WITH RECURSIVE sums AS (
   SELECT list(c ORDER BY i) AS t FROM (
@@ -269,5 +310,5 @@ FROM forms f JOIN led ON led.word = f.word JOIN forms g ON g.word = led.root
 WHERE g.form IS NULL"""
 
 ORACLE = {"op3_mixing": _MIX, "op5_search": _SEARCH, "op6_url_rules": _URLS,
-          "op9_near_dedup": _NEAR, "op12_spelling": _SPELLING,
+          "op9_near_dedup": _NEAR, "op11_collocations": _PHRASES, "op12_spelling": _SPELLING,
           "op13_ngram_join": _JOINED}
