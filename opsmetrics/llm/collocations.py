@@ -41,7 +41,7 @@ MILLION = 1_000_000
 
 WORD_BITS = 26
 PAIR_BITS = 25
-SLICE = 1 << 21
+SLICE = 1 << 20
 SALTS = 64
 
 # What a pair may be: the begin or the end of a phrase, a phrase itself, and frequent.
