@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import operator
-from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -29,6 +27,14 @@ SEGMENT_SHORT_LABEL_TEXT = "Agent: {agent_name}\nLead: {team_lead_name}\nCluster
 SEGMENT_LABEL_TEXT = SEGMENT_SHORT_LABEL_TEXT + "\n{cluster_label}"
 
 
+# Agents compared at a time; tasks whose sums the driver adds up itself; iterations between
+# two stored margins; the share of distances taken from which margins are stored anew.
+POINTS = 256
+FEW_TASKS = 16
+FULL_STEPS = 3
+REFRESH = 0.4
+
+
 @dataclass(frozen=True)
 class SegmentFit:
     """The best of several K-means starts, run until no center moves."""
@@ -48,14 +54,10 @@ class SegmentFit:
         return [order.index(i) + 1 for i in range(len(centers))]
 
 
-@contextmanager
 def _vectors(features: DataFrame, columns: list[str], standardize: bool,
-             invalid: str = "error"):
-    """Feature vectors kept in memory for the passes of the fits.
-
-    Agents are laid out by hash in partitions of a size AQE picks, and sorted, so that
-    seeded starts repeat. A lost block is re-read from the stored table.
-    """
+             invalid: str = "error") -> DataFrame:
+    """Feature vectors from a stored table. Agents are laid out by hash in partitions of a
+    size AQE picks, and sorted."""
     stored = materialize(features.hint("rebalance", "agent_name")
                          .sortWithinPartitions("agent_name"))
     vectors = VectorAssembler(inputCols=columns, outputCol="features",
@@ -65,11 +67,7 @@ def _vectors(features: DataFrame, columns: list[str], standardize: bool,
                                 inputCol="features", outputCol="scaled")
         vectors = (scaler.fit(vectors).transform(vectors)
                    .drop("features").withColumnRenamed("scaled", "features"))
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield vectors
-    finally:
-        vectors.unpersist()
+    return vectors
 
 
 def _starts(vectors: DataFrame, n_init: int, most: int) -> np.ndarray:
@@ -85,74 +83,248 @@ def _starts(vectors: DataFrame, n_init: int, most: int) -> np.ndarray:
     return [np.array([r.v for r in rows if r.start == s]) for s in range(1, n_init + 1)]
 
 
-def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the nearest center of each point, the first of equally near ones, and the
-    squared distance."""
-    squares = np.stack([((points - c) ** 2).sum(axis=1) for c in centers], axis=1)
-    nearest = squares.argmin(axis=1)
-    return nearest, squares[np.arange(len(points)), nearest]
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    values = batch.column("v")
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
+def _squares(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of points (..., d) to their centers (..., k, d)."""
+    return ((points[..., None, :] - centers) ** 2).sum(axis=-1)
+
+
+@dataclass(frozen=True)
+class Fits:
+    """Fits of equally many centers: their numbers and all their centers (fits, k, d). With
+    an anchor also how far each center moved since margins were stored, and which of the
+    stored columns are these fits'."""
+
+    ids: np.ndarray
+    centers: np.ndarray
+    moved: np.ndarray | None = None
+    place: np.ndarray | None = None
+
+    def only(self, kept: np.ndarray) -> "Fits":
+        return Fits(self.ids[kept], self.centers[kept])
 
 
-def _partial_sums(batches, fits: dict):
-    """For every fit and cluster the number, sums and squared distances of a task's agents."""
-    totals = {}
+@dataclass(frozen=True)
+class Anchor:
+    """Where the centers stood when each agent's nearest center, and its margin, how much
+    farther the next one was, were stored with it; ``sums`` are the numbers and sums of the
+    clusters then (fits, k, 1 + d), by number of centers."""
+
+    fits: dict[int, Fits]
+    sums: dict[int, np.ndarray]
+    kind: type
+
+    def since(self, k: int, fits: Fits) -> Fits:
+        """The same fits with the moves of their centers."""
+        at = np.searchsorted(self.fits[k].ids, fits.ids)
+        moved = np.sqrt(((fits.centers - self.fits[k].centers[at]) ** 2).sum(axis=-1))
+        before = sum(len(f.ids) for other, f in self.fits.items() if other < k)
+        return Fits(fits.ids, fits.centers, moved, before + at)
+
+
+def _sums(cells: np.ndarray, points: np.ndarray, size: int) -> np.ndarray:
+    """Number and sums of the points of each cell."""
+    return np.stack(
+        [np.bincount(cells, minlength=size),
+         *[np.bincount(cells, points[:, j], minlength=size) for j in range(points.shape[1])]],
+        axis=1)
+
+
+def _changes(points: np.ndarray, fits: Fits, nearest: np.ndarray | None,
+             margin: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """What points add to the numbers and sums of clusters (fits, k, 1 + d), and how many
+    distances that took.
+
+    With margins these are the changes since they were stored. A center that moved by u is
+    nearer or farther by u at most, so a point keeps its nearest center while its margin is
+    above the moves of that center and of the farthest-moved one together; only points of
+    smaller margins are compared with centers.
+    """
+    number, k, _ = fits.centers.shape
+    size = number * k
+    if margin is None:
+        cells = _squares(points[:, None, :], fits.centers).argmin(axis=-1) + np.arange(number) * k
+        return (_sums(cells.ravel(), np.repeat(points, number, axis=0), size)
+                .reshape(number, k, -1), cells.size * k)
+    nearest, margin = nearest[:, fits.place].astype(np.int64), margin[:, fits.place]
+    limit = fits.moved[np.arange(number), nearest] + fits.moved.max(axis=1)
+    row, fit = np.nonzero(margin <= limit * (1 + 1e-6) + 1e-9)
+    after = _squares(points[row], fits.centers[fit]).argmin(axis=-1)
+    before = nearest[row, fit]
+    other = after != before
+    cells, moving = fit[other] * k, points[row[other]]
+    return ((_sums(cells + after[other], moving, size) - _sums(cells + before[other], moving, size))
+            .reshape(number, k, -1), row.size * k)
+
+
+def _step(batches, width: int, running: list[Fits], ending: list[Fits], kind: type | None):
+    """Numbers and sums by fit and cluster; for fits that end the sum of squared distances,
+    in cluster -1; in fit -1 how many distances were taken and how many there are."""
+    totals = [np.zeros((*f.centers.shape[:2], 1 + width)) for f in running]
+    squares = [np.zeros(len(f.ids)) for f in ending]
+    taken = there = 0
     for batch in batches:
-        points = np.array(batch.column("v").to_pylist())
-        for fit, centers in fits.items():
-            nearest, squares = _nearest(points, centers)
-            sums = np.zeros((len(centers), 2 + points.shape[1]))
-            sums[:, 0] = np.bincount(nearest, minlength=len(centers))
-            sums[:, 1] = np.bincount(nearest, squares, minlength=len(centers))
-            np.add.at(sums[:, 2:], nearest, points)
-            totals[fit] = totals.get(fit, 0) + sums
-    rows = [(fit, c, row.tolist()) for fit, sums in totals.items() for c, row in enumerate(sums)]
-    fit, cluster, sums = zip(*rows) if rows else ((), (), ())
+        points, nearest, margin = _points(batch), None, None
+        if kind:
+            nearest, margin = [
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(len(points), -1)
+                for c, t in (("nearest", kind), ("margin", np.float32))]
+        for start in range(0, len(points), POINTS):
+            at = slice(start, start + POINTS)
+            for total, fits in zip(totals, running):
+                sums, compared = _changes(points[at], fits, *(
+                    (nearest[at], margin[at]) if kind else (None, None)))
+                total += sums
+                taken += compared
+                there += len(points[at]) * fits.centers[..., 0].size
+            for total, fits in zip(squares, ending):
+                total += _squares(points[at][:, None, :], fits.centers).min(axis=-1).sum(axis=0)
+    ids, clusters = [np.array([-1])], [np.array([-1])]
+    sums = [np.array([[taken, there, *[0] * (width - 1)]], float)]
+    for fits, total in zip(running, totals):
+        fit, cluster = np.nonzero(total.any(axis=-1))
+        ids.append(fits.ids[fit])
+        clusters.append(cluster)
+        sums.append(total[fit, cluster])
+    for fits, total in zip(ending, squares):
+        ids.append(fits.ids)
+        clusters.append(np.full(len(total), -1))
+        sums.append(np.pad(total[:, None], ((0, 0), (0, width))))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(fit, pa.int32()), pa.array(cluster, pa.int32()),
-         pa.array(sums, pa.list_(pa.float64()))], names=["fit", "cluster", "sums"])
+        [pa.array(np.concatenate(ids), pa.int32()), pa.array(np.concatenate(clusters), pa.int32()),
+         *map(pa.array, np.concatenate(sums).T)],
+        names=["fit", "cluster", *[f"s{i}" for i in range(1 + width)]])
 
 
-def _best_fits(vectors: DataFrame, ks: list[int], n_init: int) -> dict[int, SegmentFit]:
+def _anchored(batches, running: list[Fits], kind: type):
+    """Each agent with its nearest center and margin in every fit, as bytes in fit order."""
+    for batch in batches:
+        points = _points(batch)
+        nearest, margin = [], []
+        for fits in running:
+            squares = np.concatenate([
+                _squares(points[start:start + POINTS, None, :], fits.centers)
+                for start in range(0, len(points), POINTS)])
+            nearest.append(squares.argmin(axis=-1).astype(kind))
+            two = np.sqrt(np.partition(squares, 1, axis=-1)[..., :2])
+            margin.append(((two[..., 1] - two[..., 0]) * (1 - 1e-6)).astype(np.float32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("v"),
+             *[pa.array([row.tobytes() for row in np.concatenate(x, axis=1)], pa.binary())
+               for x in (nearest, margin)]], names=["v", "nearest", "margin"])
+
+
+def _summed(table: DataFrame, width: int, running: dict[int, Fits], ending: list[Fits],
+            kind: type | None,
+            few: bool) -> tuple[dict[int, np.ndarray], dict[int, float], np.ndarray]:
+    """The rows of ``_step`` over all tasks: numbers and sums of clusters by k (fits, k,
+    1 + d), sums of squares by fit, and the distances taken and there. Rows of ``few`` tasks
+    are added up here, which saves a shuffle in each iteration; else Spark adds them up."""
+    columns = [f"s{i}" for i in range(1 + width)]
+    rows = (
+        table.select("v", *(["nearest", "margin"] if kind else []))
+        .mapInArrow(partial(_step, width=width, running=list(running.values()), ending=ending,
+                            kind=kind),
+                    "fit int, cluster int, " + ", ".join(f"{c} double" for c in columns)))
+    if not few:
+        rows = rows.groupBy("fit", "cluster").agg(*[F.sum(c).alias(c) for c in columns])
+    found = rows.toArrow()
+    fit, cluster = (found.column(c).to_numpy() for c in ("fit", "cluster"))
+    values = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+    sums = {}
+    for k, fits in running.items():
+        own = np.isin(fit, fits.ids) & (cluster >= 0)
+        sums[k] = np.zeros((len(fits.ids), k, 1 + width))
+        np.add.at(sums[k], (np.searchsorted(fits.ids, fit[own]), cluster[own]), values[own])
+    squares = {}
+    for of, x in zip(fit[cluster < 0].tolist(), values[cluster < 0, 0].tolist()):
+        squares[of] = squares.get(of, 0.0) + x
+    squares.pop(-1)
+    return sums, squares, values[fit < 0].sum(axis=0)[:2]
+
+
+def _best_fits(vectors: DataFrame, ks: list[int], n_init: int,
+               work: list | None = None) -> dict[int, SegmentFit]:
     """Lloyd's iterations for every k and start, one job for all of them at a time, each
     until its centers stand still. An empty cluster keeps its center. The best of a k has
     the smallest within sum of squares, then the smaller start.
 
-    What the driver holds is bounded by the parameters: k centers for each start and k.
+    The first iterations move centers far and compare all agents with all centers. Then each
+    agent's nearest center and margin are stored with it, and iterations compare only agents
+    whose margin the moves since then have used up; when those are many, margins are stored
+    anew. Centers and counts are the same either way. What the driver holds is bounded by the
+    parameters: k centers and sums for each start and k. ``work`` gets the numbers of
+    distances taken and there, for each iteration.
     """
     starts = _starts(vectors, n_init, max(ks))
     width = starts[0].shape[1]
-    running = {k * n_init + s: starts[s][:k] for k in ks for s in range(n_init)}
-    done, step = {}, 0
-    while running:
+    running = {}
+    for k in sorted(ks):
+        by_size: dict[int, list[int]] = {}
+        for s, centers in enumerate(starts):
+            by_size.setdefault(len(centers[:k]), []).append(s)
+        for size, of in by_size.items():
+            ids = np.array([k * n_init + s for s in of])
+            before = running.get(size)
+            centers = np.stack([starts[s][:k] for s in of])
+            running[size] = Fits(ids, centers) if before is None else Fits(
+                np.concatenate([before.ids, ids]), np.concatenate([before.centers, centers]))
+    few = vectors.rdd.getNumPartitions() <= FEW_TASKS
+    table, anchor, last, share = vectors, None, 0, 1.0
+    ending, ended, step = [], {}, 0
+    while running or ending:
         step += 1
-        rows = (
-            vectors.select("v").mapInArrow(
-                partial(_partial_sums, fits=running),
-                "fit int, cluster int, sums array<double>")
-            .groupBy("fit", "cluster")
-            .agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 + width)])
-            .collect())
-        sums = {fit: np.zeros((len(c), 2 + width)) for fit, c in running.items()}
-        for row in rows:
-            sums[row.fit][row.cluster] = row[2:]
-        for fit, old in list(running.items()):
-            number = sums[fit][:, :1]
-            new = np.where(number > 0, sums[fit][:, 2:] / np.maximum(number, 1), old)
-            if np.allclose(new, old, rtol=1e-12, atol=1e-15):
-                found = int((number > 0).sum())
-                k, start = divmod(fit, n_init)
-                done[fit] = SegmentFit(k, old[number[:, 0] > 0], float(sums[fit][:, 1].sum()),
-                                       step, found)
-                del running[fit]
-            else:
-                running[fit] = new
-    return {k: min((done[k * n_init + s] for s in range(n_init)),
+        if running and step > FULL_STEPS and step - last > FULL_STEPS and share > REFRESH:
+            table, anchor = _with_anchor(vectors, running, width, few)
+            last, share = step, 0.0
+        moved = {k: anchor.since(k, f) for k, f in running.items()} if anchor else running
+        sums, squares, (taken, there) = _summed(table, width, moved, ending,
+                                                anchor and anchor.kind, few)
+        share = taken / max(there, 1)
+        if work is not None:
+            work.append((int(taken), int(there)))
+        for fit, within in squares.items():
+            ended[fit] = replace(ended[fit], within=within)
+        ending, still = [], {}
+        for k, fits in running.items():
+            total = sums[k]
+            if anchor:
+                total = total + anchor.sums[k][np.searchsorted(anchor.fits[k].ids, fits.ids)]
+            number = total[..., :1]
+            new = np.where(number > 0.5, total[..., 1:] / np.maximum(number, 1), fits.centers)
+            stands = np.isclose(new, fits.centers, rtol=1e-12, atol=1e-15).all(axis=(1, 2))
+            if stands.any():
+                ending.append(fits.only(stands))
+            for i in np.flatnonzero(stands):
+                there_ = number[i, :, 0] > 0.5
+                ended[int(fits.ids[i])] = SegmentFit(
+                    int(fits.ids[i]) // n_init, fits.centers[i][there_], np.nan, step,
+                    int(there_.sum()))
+            if not stands.all():
+                still[k] = Fits(fits.ids[~stands], new[~stands])
+        running = still
+    return {k: min((ended[k * n_init + s] for s in range(n_init)),
                    key=lambda f: (round(f.within, 12),)) for k in ks}
 
 
+def _with_anchor(vectors: DataFrame, running: dict[int, Fits],
+                 width: int, few: bool) -> tuple[DataFrame, Anchor]:
+    """The stored table of agents with their margins, and what the driver keeps of it."""
+    kind = np.uint8 if max(running) <= 256 else np.uint32
+    table = materialize(vectors.mapInArrow(
+        partial(_anchored, running=list(running.values()), kind=kind),
+        "v array<double>, nearest binary, margin binary"))
+    sums, _, _ = _summed(vectors, width, running, [], None, few)
+    return table, Anchor(dict(running), sums, kind)
+
+
 def _assign(batches, centers: np.ndarray, numbers: list[int]):
     for batch in batches:
-        nearest, _ = _nearest(np.array(batch.column("v").to_pylist()), centers)
+        nearest = _squares(_points(batch), centers).argmin(axis=-1)
         yield pa.RecordBatch.from_arrays(
             [batch.column("agent_name"), pa.array([str(numbers[i]) for i in nearest], pa.string())],
             names=["agent_name", "cluster"])
@@ -174,13 +346,13 @@ def segment_kmeans(features: DataFrame, k: int = 3, n_init: int = 100,
     fewer than k segments, and fewer agents than k do.
     """
     columns = columns or FEATURES
-    with _vectors(features, columns, standardize, invalid) as vectors:
-        vectors = _as_arrays(vectors)
-        best = _best_fits(vectors, [k], n_init)[k]
-        numbers = best.segment_numbers(columns.index(rank_by))
-        return materialize(vectors.mapInArrow(
-            partial(_assign, centers=best.centers, numbers=numbers),
-            "agent_name string, cluster string"))
+    vectors = _vectors(features, columns, standardize, invalid)
+    vectors = _as_arrays(vectors)
+    best = _best_fits(vectors, [k], n_init)[k]
+    numbers = best.segment_numbers(columns.index(rank_by))
+    return materialize(vectors.mapInArrow(
+        partial(_assign, centers=best.centers, numbers=numbers),
+        "agent_name string, cluster string"))
 
 
 def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int = 100,
@@ -193,19 +365,19 @@ def kmeans_sweep(features: DataFrame, ks: list[int] | None = None, n_init: int =
     """
     columns = columns or FEATURES
     ks = ks or list(range(1, 11))
-    with _vectors(features, columns, standardize, invalid) as vectors:
-        vectors = _as_arrays(vectors)
-        axes = vectors.select(*[F.col("v")[i].alias(f"v{i}") for i in range(len(columns))])
-        total = axes.agg(_sum_of_squares(axes.columns).alias("ss")).first()["ss"]
-        several = [k for k in ks if k > 1]
-        fits = _best_fits(vectors, several, n_init) if several else {}
-        rows = [(k, total, total, 0.0, 1, 1, True) if k == 1 else
-                (k, total, fits[k].within, total - fits[k].within, fits[k].iterations,
-                 fits[k].clusters, True)
-                for k in ks]
-        return features.sparkSession.createDataFrame(
-            rows, "centers int, totss double, tot_withinss double, betweenss double, "
-                  "iter int, clusters_found int, converged boolean")
+    vectors = _vectors(features, columns, standardize, invalid)
+    vectors = _as_arrays(vectors)
+    axes = vectors.select(*[F.col("v")[i].alias(f"v{i}") for i in range(len(columns))])
+    total = axes.agg(_sum_of_squares(axes.columns).alias("ss")).first()["ss"]
+    several = [k for k in ks if k > 1]
+    fits = _best_fits(vectors, several, n_init) if several else {}
+    rows = [(k, total, total, 0.0, 1, 1, True) if k == 1 else
+            (k, total, fits[k].within, total - fits[k].within, fits[k].iterations,
+             fits[k].clusters, True)
+            for k in ks]
+    return features.sparkSession.createDataFrame(
+        rows, "centers int, totss double, tot_withinss double, betweenss double, "
+              "iter int, clusters_found int, converged boolean")
 
 
 def _sum_of_squares(columns: list[str]):
@@ -252,17 +424,17 @@ def agent_projection(features: DataFrame, columns: list[str] | None = None,
     The sign of each axis makes its largest loading positive.
     """
     columns = columns or FEATURES
-    with _vectors(features, columns, False, invalid) as vectors:
-        scaler = StandardScaler(withMean=True, withStd=False,
-                                inputCol="features", outputCol="centered")
-        centered = scaler.fit(vectors).transform(vectors)
-        model = PCA(k=2, inputCol="centered", outputCol="axes").fit(centered)
-        loadings = model.pc.toArray().T
-        signs = [1.0 if max(axis, key=abs) >= 0 else -1.0 for axis in loadings]
-        axes = vector_to_array("axes")
-        points = model.transform(centered).select(
-            *[axes.getItem(i) * F.lit(sign) for i, sign in enumerate(signs)], "agent_name")
-        return materialize(points.toDF("x", "y", "agent_name"))
+    vectors = _vectors(features, columns, False, invalid)
+    scaler = StandardScaler(withMean=True, withStd=False,
+                            inputCol="features", outputCol="centered")
+    centered = scaler.fit(vectors).transform(vectors)
+    model = PCA(k=2, inputCol="centered", outputCol="axes").fit(centered)
+    loadings = model.pc.toArray().T
+    signs = [1.0 if max(axis, key=abs) >= 0 else -1.0 for axis in loadings]
+    axes = vector_to_array("axes")
+    points = model.transform(centered).select(
+        *[axes.getItem(i) * F.lit(sign) for i, sign in enumerate(signs)], "agent_name")
+    return materialize(points.toDF("x", "y", "agent_name"))
 
 
 def agent_lead_bridge(df: DataFrame) -> DataFrame:

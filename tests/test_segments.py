@@ -145,3 +145,54 @@ def test_labels(spark, features, bridge):
 def test_natural_join_needs_a_shared_column(spark):
     with pytest.raises(ValueError):
         segments.natural_left_join(spark.range(1).toDF("a"), spark.range(1).toDF("b"))
+
+
+def plain_lloyd(data, centers):
+    """Every distance in every iteration; iterations until the centers stand still."""
+    steps = 0
+    while True:
+        steps += 1
+        nearest = ((data[:, None, :] - centers) ** 2).sum(axis=-1).argmin(axis=1)
+        new = np.array([data[nearest == c].mean(axis=0) if (nearest == c).any() else centers[c]
+                        for c in range(len(centers))])
+        if np.allclose(new, centers, rtol=1e-12, atol=1e-15):
+            return ((data - centers[nearest]) ** 2).sum(), steps
+        centers = new
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_margins_skip_most_distances_and_change_nothing(spark, monkeypatch, few):
+    rng = np.random.default_rng(5)
+    data = np.concatenate([c + rng.normal(0, 0.08, (150, 3)) for c in rng.uniform(size=(5, 3))])
+    df = spark.createDataFrame([(f"a{i:04d}", [float(x) for x in p]) for i, p in enumerate(data)],
+                               "agent_name string, v array<double>").repartition(4)
+    monkeypatch.setattr(segments, "FEW_TASKS", few)
+    work = []
+    fits = segments._best_fits(df, [2, 5, 7], 6, work)
+    for k, fit in fits.items():
+        ends = [plain_lloyd(data, start[:k]) for start in segments._starts(df, 6, 7)]
+        within, steps = min(ends, key=lambda e: round(e[0], 12))
+        assert fit.within == pytest.approx(within, rel=1e-12) and fit.iterations == steps
+    later = work[segments.FULL_STEPS:]
+    assert all(taken == there for taken, there in work[:segments.FULL_STEPS])
+    assert sum(taken for taken, _ in later) < 0.4 * sum(there for _, there in later)
+
+
+def test_each_margin_is_a_lower_bound(spark):
+    """One anchor, then centers moved at random: all assignments as if compared in full."""
+    rng = np.random.default_rng(6)
+    data = rng.uniform(size=(200, 2))
+    df = spark.createDataFrame([(f"a{i}", [float(x) for x in p]) for i, p in enumerate(data)],
+                               "agent_name string, v array<double>")
+    first = {4: segments.Fits(np.arange(3), rng.uniform(size=(3, 4, 2)))}
+    table, anchor = segments._with_anchor(df, first, 2, True)
+    for scale in (0, 0.01, 0.1, 1):
+        fits = segments.Fits(np.array([0, 2]), first[4].centers[[0, 2]]
+                             + rng.normal(0, scale, (2, 4, 2)))
+        sums, _, (taken, there) = segments._summed(
+            table, 2, {4: anchor.since(4, fits)}, [], anchor.kind, True)
+        for i, centers in enumerate(fits.centers):
+            nearest = ((data[:, None, :] - centers) ** 2).sum(axis=-1).argmin(axis=1)
+            number = (sums[4] + anchor.sums[4][[0, 2]])[i, :, 0]
+            assert number.round().tolist() == np.bincount(nearest, minlength=4).tolist()
+        assert there == 200 * 2 * 4 and (taken == 0 if scale == 0 else taken <= there)
