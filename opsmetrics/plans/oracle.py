@@ -230,25 +230,37 @@ cofactors AS (
   SELECT i, points, s2 * s4 - s3 * s3 AS c0, s2 * s3 - s1 * s4 AS c1, s1 * s3 - s2 * s2 AS c2,
          s0 * (s2 * s4 - s3 * s3) + s1 * (s2 * s3 - s1 * s4) + s2 * (s1 * s3 - s2 * s2) AS det
   FROM moments),
-fits AS (
-  SELECT n.i, sum(w * (c0 + c1 * u + c2 * u * u) / det * calls) AS smooth,
-         sum(pow(w * (c0 + c1 * u + c2 * u * u) / det, 2)) AS spread,
-         any_value(c0 / det) AS own
+levers AS MATERIALIZED (
+  SELECT n.i, n.j, n.calls, w * (c0 + c1 * u + c2 * u * u) / det AS l
   FROM near n JOIN cofactors c ON n.i = c.i
-  WHERE points >= 3 AND det > 1e-12
-  GROUP BY n.i),
-residuals AS (
-  SELECT 1.959963984540054::DOUBLE AS z, sum(pow(calls - smooth, 2)) AS squares,
-         (SELECT n FROM size) - 2 * sum(own) + sum(spread) AS freedom
-  FROM indexed JOIN fits USING (i)),
-scale AS (
-  SELECT squares / freedom AS s2,
-         z + (pow(z, 3) + z) / 4 / freedom
-           + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(freedom, 2)
-           + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(freedom, 3)
-           + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3)
-              - 945 * z) / 92160 / pow(freedom, 4) AS t
-  FROM residuals)"""
+  WHERE points >= 3 AND det > 1e-12),
+fits AS (SELECT i, sum(l * calls) AS smooth, sum(l * l) AS spread FROM levers GROUP BY i),
+residual AS MATERIALIZED (
+  SELECT i, j, CASE WHEN i = j THEN 1 - l ELSE -l END AS r FROM levers
+  UNION ALL
+  SELECT i, i, 1.0::DOUBLE FROM indexed WHERE i NOT IN (SELECT i FROM levers)),
+products AS (
+  SELECT a.i AS i, b.i AS j, sum(a.r * b.r) AS m
+  FROM residual a JOIN residual b ON a.j = b.j AND a.i <= b.i GROUP BY a.i, b.i),
+moments_of_residuals AS (
+  SELECT (SELECT sum(r * r) FROM residual) AS d1,
+         (SELECT sum(CASE WHEN i = j THEN m * m ELSE 2 * m * m END) FROM products) AS d2,
+         (SELECT sum(pow(calls - smooth, 2)) FROM indexed JOIN fits USING (i)) AS squares),
+freedoms AS (
+  SELECT d1, squares, d1 * d1 / d2 AS f,
+         exp(lgamma((d1 * d1 / d2 + 1) / 2) - lgamma(d1 * d1 / d2 / 2))
+           / sqrt(d1 * d1 / d2 * pi()) AS c
+  FROM moments_of_residuals),
+newton AS (
+  SELECT 0 AS step, 1.96::DOUBLE AS t, d1, squares, f, c FROM freedoms
+  UNION ALL
+  SELECT step + 1,
+    t - (0.5 + c * t / 3000 * list_sum([
+           (CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+             * pow(1 + pow(t * k / 1000, 2) / f, -(f + 1) / 2) FOR k IN range(1001)]) - 0.975)
+      / (c * pow(1 + t * t / f, -(f + 1) / 2)), d1, squares, f, c
+  FROM newton WHERE step < 30),
+scale AS (SELECT squares / d1 AS s2, t FROM newton WHERE step = 30)"""
 
 _SIX = "range(6)"
 
@@ -408,7 +420,7 @@ SELECT call_date, sum(calls)::BIGINT AS calls,
          AS label_text
 FROM log GROUP BY call_date""",
 
-    "calls_per_day_smoothed": f"""WITH {SMOOTH}
+    "calls_per_day_smoothed": f"""WITH RECURSIVE {SMOOTH}
 SELECT call_date, calls, round(smooth, 4) AS smooth,
        round(smooth - t * sqrt(s2 * spread), 4) AS lower,
        round(smooth + t * sqrt(s2 * spread), 4) AS upper
@@ -580,6 +592,6 @@ ORACLE |= {
     f"{name}_selected": ORACLE[name].replace(f"WITH {SUMMARY}", f"WITH {SELECTED}", 1)
     for name in ("scorecard_totals", "scorecard_text")}
 ORACLE |= {
-    f"{name}_selected": ORACLE[name].replace(f"WITH {LOG}", f"WITH {SELECTED}", 1)
+    f"{name}_selected": ORACLE[name].replace(LOG, SELECTED, 1)
     .replace("FROM log GROUP BY", "FROM chosen GROUP BY")
     for name in ("calls_per_day", "calls_per_day_smoothed")}

@@ -134,12 +134,49 @@ def test_one_series_is_fitted_in_several_groups(spark):
     assert smooth.loess(days.limit(0)).collect() == []
 
 
+def test_t_quantiles():
+    known = [(1.0, 12.706204736432095), (2.0, 4.302652729911275), (3.0, 3.182446305284263),
+             (5.0, 2.570581835636314), (10.0, 2.228138851964939), (30.0, 2.042272456301238),
+             (1000.0, 1.962339080837478)]
+    for freedom, t in known:
+        assert smooth.t_quantile(freedom) == pytest.approx(t, abs=1e-9)
+    # At two degrees the quantile is algebraic for every level.
+    for level in (0.6, 0.9, 0.999):
+        tail = 4 * level * (1 - level)
+        assert smooth.t_quantile(2, level) == pytest.approx(
+            (2 * level - 1) * (2 / tail) ** 0.5, abs=1e-9)
+    assert smooth.t_quantile(1e7) == pytest.approx(1.959963984540054, abs=1e-6)
+    assert smooth.t_quantile(0.0) != smooth.t_quantile(0.0)
+
+
+def test_band_against_a_dense_product(spark, monkeypatch):
+    """Both moments of the residual operator, and the whole band, on 300 days; in one block
+    and in blocks as long as a fit."""
+    rng = np.random.default_rng(7)
+    x = np.sort(rng.choice(900, size=300, replace=False)).astype(float)
+    y = rng.normal(size=300)
+    q = 30
+    residual = np.eye(300)
+    fit, spread, _ = smooth.local_quadratic(x, y, q, slice(0, 300))
+    for j in range(300):
+        residual[:, j] -= smooth.local_quadratic(x, np.eye(300)[j], q, slice(0, 300))[0]
+    product = residual @ residual.T
+    d1, d2 = np.trace(product), (product ** 2).sum()
+    monkeypatch.setattr(smooth, "ROWS", 37)
+    assert smooth.second_moment(x, q, slice(0, 300)) == pytest.approx(d2, rel=1e-9)
+    parts = [smooth.second_moment(x, q, slice(a, min(a + 41, 300))) for a in range(0, 300, 41)]
+    assert sum(parts) == pytest.approx(d2, rel=1e-9)
+    band = smooth.t_quantile(d1 * d1 / d2) * np.sqrt(((y - fit) ** 2).sum() / d1 * spread)
+    df = spark.createDataFrame(
+        [(dt.date(1970, 1, 1) + dt.timedelta(int(d)), float(v)) for d, v in zip(x, y)],
+        "call_date date, calls double")
+    for block in (1000, 30):
+        rows = smooth.loess(df, span=0.1, block_days=block).orderBy("call_date").collect()
+        assert [r.lower for r in rows] == pytest.approx(list(fit - band), abs=1e-8)
+        assert [r.upper for r in rows] == pytest.approx(list(fit + band), abs=1e-8)
+
+
 def test_band_takes_the_t_quantile_unless_told(spark):
-    known = [(3.0, 3.18245), (5.0, 2.57058), (10.0, 2.22814), (30.0, 2.04227)]
-    rows = spark.createDataFrame(known, "freedom double, t double").withColumn(
-        "found", smooth.t_quantile(smooth.Z_95, "freedom")).collect()
-    for r in rows:
-        assert r.found == pytest.approx(r.t, rel=2e-3 if r.freedom < 5 else 2e-4)
     days = spark.sql("SELECT date_add(DATE'2017-01-01', CAST(id AS int)) AS call_date, "
                      "CAST(id * id % 17 AS double) AS calls FROM range(40)")
     by_t, by_z, wider = (smooth.loess(days, span=0.5, **z).orderBy("call_date").collect()
