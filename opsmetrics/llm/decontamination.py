@@ -299,4 +299,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """
     hit = materialize(find_passages(docs, benchmark, **options)
                       .select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.hint("merge").join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    return docs.hint("merge").join(hit, docs["doc_id"] == hit["_hit"], "left_anti")

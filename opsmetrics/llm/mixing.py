@@ -137,10 +137,11 @@ def mix(docs: DataFrame, weights: list[int], percent: int = 150, epochs: int = 2
     weight = letter_weight() if weight is None else weight
     added = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*[c for c in docs.columns if c in added])
-    sized = docs.withColumns({"size": word_count(), "_key": exponential_key(weight)})
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source",
+                        word_count().alias("size"), exponential_key(weight).alias("_key"))
     sizes = materialize(sized.select("doc_id", "source", "size", "_key"))
     targets = materialize(source_targets(sizes, weights, percent, epochs))
     cuts = materialize(_cuts(sizes, targets))
     if not texts:
         return _take(sizes, cuts).select("doc_id", "source", *added)
-    return _take(sized, cuts).select(*docs.columns, *added)
+    return _take(sized, cuts).select("_row.*", *added)

@@ -236,8 +236,29 @@ def _beside_hub(compared: DataFrame, joined: DataFrame, sets: DataFrame,
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one of each component."""
-    kept = materialize(near_duplicates(docs, size, percent).filter("kept").select(
-        F.col("doc_id").alias("_kept_id")))
-    return (docs.hint("merge").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-            .dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` without near duplicates: one row of each component stays.
+
+    Rows are compared, not ids: different texts of one doc_id, and texts without one, go only
+    if they are near copies of another. Of a component the smallest doc_id stays, a null one
+    last, and of several texts or rows of that id the first by a hash of the row. Rows
+    whose text is null, empty or without words are near copies of nothing and all stay, in
+    repeated rows too. All columns are returned, whatever their names. No rows give none. This
+    runs jobs.
+    """
+    has_words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.filter(has_words).select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        "text", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_text_key"),
+        F.xxhash64(*hashed).alias("_order"))
+    near = near_duplicates(rows.select(F.col("_text_key").alias("doc_id"), "text"), size, percent)
+    ids = rows.groupBy("_text_key").agg(F.min("doc_id").alias("_id"))
+    kept = materialize(
+        ids.join(near.select("doc_id", "component_id"), F.col("_text_key") == near["doc_id"])
+        .groupBy("component_id").agg(F.min(F.struct(
+            F.col("_id").isNull().alias("none"), "_id", "_text_key"))["_text_key"].alias("_kept"))
+        .select("_kept"))
+    one = (
+        rows.hint("merge").join(kept, F.col("_text_key") == F.col("_kept"), "left_semi")
+        .groupBy("_text_key").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))
+    return one.unionByName(docs.filter(~has_words))
