@@ -272,8 +272,10 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80,
     firsts = named.mapInArrow(
         partial(_post, size=size, percent=percent, frequent=frequent, numbers=numbers),
         "class bigint, shingle bigint, place int").repartition("shingle")
-    ends = (firsts.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("_most"))
-            .filter("hub <> _most").drop("_most"))
+    # Places are at least 1. Asked for here, both uses read the same columns, and so one shuffle.
+    ends = (firsts.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("_most"),
+                                          F.min("place").alias("_least"))
+            .filter("hub <> _most AND _least > 0").drop("_most", "_least"))
     shared = materialize(firsts.join(ends.hint("shuffle_hash"), "shingle")
                          .dropDuplicates(["shingle", "class"]))
 
