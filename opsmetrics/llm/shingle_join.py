@@ -396,8 +396,9 @@ def _tile_rows(shared: DataFrame, parts: DataFrame, classes: DataFrame, percent:
         .withColumns({"opens": F.sum(F.col("open").cast("int")).over(in_tile),
                       "all": F.count(F.lit(1)).over(in_tile),
                       "lower": F.min("upper").over(in_tile),
+                      "apart": F.min("part").over(in_tile) != F.max("part").over(in_tile),
                       "number": ((F.row_number().over(in_order) - 1) / block).cast("int")})
-        .filter(F.col("opens") > 0).filter(F.col("all") > 1).filter(~F.col("lower")))
+        .filter(F.col("opens") > 0).filter("apart").filter(~F.col("lower")))
 
     def blocks(column: str):
         return F.explode(F.sequence(F.lit(0), ((F.col(column) - 1) / block).cast("int")))
