@@ -68,7 +68,7 @@ def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return lm_scores.corpus_scores(read(spark, folder, "documents"))
+    return lm_scores.seen_scores(read(spark, folder, "documents"))
 
 
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

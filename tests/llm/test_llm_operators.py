@@ -371,6 +371,50 @@ def test_lm_scores_match_counts_of_words(spark, order, least):
         assert r.n_words == len(w) and r.total == pytest.approx(whole)
 
 
+@pytest.mark.parametrize("order, frequent, sample", [
+    (1, 40, 1), (2, 40, 1), (2, 1 << 17, 16), (3, 200, 2), (4, 40, 1)])
+def test_seen_scores_match_counts_of_words(spark, odd, none, order, frequent, sample):
+    """Counts by the words themselves; no choice of frequent n-grams changes a score."""
+    random.seed(37)
+    texts = {i: prose(i, random.randrange(0, 30), 25) for i in range(50)}
+    texts |= {100 + i: texts[i] for i in range(10)} | {200: "a", 201: "only b", 202: " "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    count = {}
+    for t in texts.values():
+        w = t.split()
+        for size in range(1, order + 1):
+            for gram in zip(*(w[k:] for k in range(size))):
+                count[gram] = count.get(gram, 0) + 1
+    count[()] = sum(n for gram, n in count.items() if len(gram) == 1)
+    found = lm_scores.seen_scores(
+        docs, frequent=frequent, sample=sample, per_part=100, order=order).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        w = texts[r.doc_id].split()
+        whole = 0.0
+        for i in range(len(w)):
+            gram = tuple(w[max(0, i + 1 - order):i + 1])
+            whole += np.log(count[gram] / count[gram[:-1]])
+        assert r.n_words == len(w) and r.total == pytest.approx(whole, abs=1e-9)
+        assert r.score == pytest.approx(whole / len(w)) if w else r.score is None
+    if order == 2:
+        rows = {r.doc_id: r for r in lm_scores.seen_scores(odd).collect()}
+        general = {r.doc_id: r for r in lm_scores.corpus_scores(odd, least=1).collect()}
+        assert set(rows) == set(general) == {1, 2, 3, 4, 5}
+        assert all(rows[i].total == pytest.approx(general[i].total) for i in rows)
+        assert lm_scores.seen_scores(none).count() == 0
+
+
+def test_seen_scores_shuffle_ngrams_once(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(50)],
+                                 "doc_id bigint, text string")
+    scored = lm_scores.seen_scores(docs, frequent=1, per_part=10)
+    assert scored.count() == 50
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def labelled(spark, make):
     docs = [(i, make(i, i % 2), "s", None, None) for i in range(240)]
     labels = [(i, i % 2) for i in range(240)] + [(7, None), (None, 1)]
