@@ -73,10 +73,12 @@ def build(points: np.ndarray, rows: np.ndarray, parent: np.ndarray, page: int =
     return Page(objects, _distances(objects, parent), radius, children)
 
 
-def search(root: Page, center: np.ndarray, query: np.ndarray, exact, k: int) -> list:
+def search(root: Page, center: np.ndarray, query: np.ndarray, exact, k: int,
+           slack: float = SLACK) -> list:
     """The k best (score, -row) of the tree, as a heap with the worst first.
 
-    ``exact`` gives the scores of rows and the distance that the worst kept score allows.
+    ``exact`` gives the scores of rows and the distance that the worst kept score allows;
+    ``slack`` covers what distances lose to rounding.
     """
     best: list[tuple[int, int]] = []
     reach = np.inf
@@ -84,12 +86,12 @@ def search(root: Page, center: np.ndarray, query: np.ndarray, exact, k: int) ->
     ties = 1
     while waiting:
         least, _, page, to_object = heapq.heappop(waiting)
-        if least > reach + SLACK:
+        if least > reach + slack:
             break
         lower = np.abs(to_object - page.to_parent)
         if page.radius is not None:
             lower = lower - page.radius
-        near = np.flatnonzero(lower <= reach + SLACK)
+        near = np.flatnonzero(lower <= reach + slack)
         if not len(near):
             continue
         if page.children is None:
@@ -97,7 +99,7 @@ def search(root: Page, center: np.ndarray, query: np.ndarray, exact, k: int) ->
             continue
         away = _distances(page.objects[near], query)
         floor = np.maximum(0.0, away - page.radius[near])
-        for i in np.flatnonzero(floor <= reach + SLACK):
+        for i in np.flatnonzero(floor <= reach + slack):
             heapq.heappush(waiting, (float(floor[i]), ties, page.children[near[i]],
                                      float(away[i])))
             ties += 1
@@ -105,7 +107,18 @@ def search(root: Page, center: np.ndarray, query: np.ndarray, exact, k: int) ->
 
 
 def _quantized(embedding: str, scale: int):
-    return F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * scale))
+    def whole(x):
+        scaled = F.floor(x.cast("double") * scale)
+        beyond = F.raise_error(F.lit("a component times the scale is beyond a long"))
+        return F.when(F.abs(x.cast("double") * scale) < 2.0**63, scaled).otherwise(
+            beyond.cast("bigint"))
+
+    return F.transform(F.col(embedding), whole)
+
+
+def _squared(vectors: np.ndarray) -> np.ndarray:
+    """Squared lengths, as doubles: squares of whole numbers may pass 64 bits."""
+    return (vectors.astype(float) ** 2).sum(axis=-1)
 
 
 def _build_tree(key, table: pa.Table, page: int, length: float) -> pa.Table:
@@ -113,7 +126,7 @@ def _build_tree(key, table: pa.Table, page: int, length: float) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     vectors = flat.reshape(len(ids), -1).astype(np.int64)[order]
-    lifted = np.sqrt(np.maximum(length - (vectors ** 2).sum(axis=1), 0))
+    lifted = np.sqrt(np.maximum(length - _squared(vectors), 0))
     points = np.concatenate([vectors.astype(float), lifted[:, None]], axis=1)
     center = points.mean(axis=0)
     root = build(points, np.arange(len(ids)), center, page)
@@ -131,6 +144,8 @@ def _build_block(key, table: pa.Table) -> pa.Table:
 
 
 def _search_pairs(batches, k: int, length: float):
+    # Rounding of squares moves a distance by no more than its root's share of the sphere.
+    slack = SLACK + 1e-7 * np.sqrt(length)
     for batch in batches:
         for tree, block in zip(batch.column("tree_payload"), batch.column("block_payload")):
             ids, vectors, center, root = pickle.loads(tree.as_py())
@@ -138,11 +153,16 @@ def _search_pairs(batches, k: int, length: float):
             found = ([], [], [])
             for query_id, query in zip(query_ids, queries):
                 point = np.append(query.astype(float), 0.0)
-                base = float((query ** 2).sum()) + length
+                base = float(_squared(query)) + length
+                # No product passes the lengths' own; beyond 62 bits Python's integers count.
+                wide = (base - length) * length >= 2.0**124
 
                 def exact(rows, best, k):
                     rows = rows[ids[rows] != query_id]
-                    scores = vectors[rows] @ query
+                    if wide:
+                        scores = vectors[rows].astype(object) @ query.astype(object)
+                    else:
+                        scores = vectors[rows] @ query
                     if len(best) == k:
                         keep = scores >= best[0][0]
                         rows, scores = rows[keep], scores[keep]
@@ -153,9 +173,12 @@ def _search_pairs(batches, k: int, length: float):
                             heapq.heapreplace(best, (score, -row))
                     worst = best[0][0] if len(best) == k else None
                     reach = np.inf if worst is None else np.sqrt(max(0.0, base - 2.0 * worst))
+                    reach = reach + 1e-7 * np.sqrt(base)
                     return best, reach
 
-                for score, row in search(root, center, point, exact, k):
+                for score, row in search(root, center, point, exact, k, slack):
+                    if not -2**63 <= score < 2**63:
+                        raise ValueError(f"the score of {query_id} and {-row} is beyond a long")
                     found[0].append(query_id)
                     found[1].append(-row)
                     found[2].append(score)
@@ -173,7 +196,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     NaN or infinite components, and rows without an id, take no part; queries only meet
     vectors of their own length. Repeated ids are candidates of their own, a repeated
     query counts once (its smallest vector). No rows on either side give none. Other
-    columns are not read. This runs jobs.
+    columns are not read. Squares and products may pass 64 bits; a scaled component, or a
+    score among the best of a tree, that does not fit a long fails the job. This runs jobs.
 
     Trees hold about ``tree_rows`` rows, dealt out by a hash of id and vector, and blocks about
     ``query_block`` queries, so every task works on one tree and one block whatever the
@@ -190,7 +214,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
 
     rows = materialize(usable(vectors))
     asked = materialize(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
-    length = F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x * x)
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("length")).first()
     n_trees = max(1, -(-shape.n // tree_rows))
     n_blocks = max(1, -(-asked.count() // query_block))

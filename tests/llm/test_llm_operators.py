@@ -415,6 +415,36 @@ def test_seen_scores_shuffle_ngrams_once(spark):
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("large", [1e12, 3e7, 6e4])
+def test_search_of_large_components(spark, large):
+    """Squares that pass 64 bits, and products that do or nearly do, against plain integers."""
+    random.seed(41)
+    vectors = {i: [random.uniform(-1, 1) for _ in range(6)] for i in range(80)}
+    vectors[7] = [large, 0.5, 0.0, 0.0, 0.0, -0.5]
+    if large < 1e9:
+        vectors |= {20: [large, large, 1.0, 0.0, 0.0, 0.0], 21: [-large] * 6}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    asked = rows.filter("vec_id % 20 = 0")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score)
+             for r in search.top_k(rows, asked, k=5, tree_rows=30, page=4).collect()}
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors.items()}
+    for q in (0, 20, 40, 60):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i)
+                        for i, v in whole.items() if i != q)
+        for rank, (score, i) in enumerate(scored[:5], 1):
+            assert found[q, rank] == (i, -score)
+
+
+def test_search_defines_what_no_long_holds(spark):
+    columns = "vec_id bigint, embedding array<double>"
+    beyond = spark.createDataFrame([(0, [1.0]), (1, [1e18])], columns)
+    with pytest.raises(Exception, match="beyond a long"):
+        search.top_k(beyond, beyond).collect()
+    product = spark.createDataFrame([(0, [1e10]), (1, [1e10])], columns)
+    with pytest.raises(Exception, match="0 and 1 is beyond a long"):
+        search.top_k(product, product.filter("vec_id = 0")).collect()
+
+
 def labelled(spark, make):
     docs = [(i, make(i, i % 2), "s", None, None) for i in range(240)]
     labels = [(i, i % 2) for i in range(240)] + [(7, None), (None, 1)]
