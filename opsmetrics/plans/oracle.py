@@ -5,7 +5,7 @@ from __future__ import annotations
 from opsmetrics.operators.segments import SEGMENT_LABELS
 from opsmetrics.operators.summary import GAUGE_SECTORS
 from opsmetrics.plans.registry import (
-    LEAD, LEADS, PERIOD, QUANTILES, RATE_LIMITS, SPAN, TOP_N)
+    CUT_PERIOD, LEAD, LEADS, PERIOD, QUANTILES, RATE_LIMITS, SPAN, TOP_N)
 
 LOG = """
 log AS (
@@ -103,6 +103,12 @@ chosen AS (
                        WHERE team_lead_name IN ({_LEAD_LIST})))""" \
     + "," + _fact("chosen") + "," + _summary()
 
+CUT = LOG + f""",
+chosen AS (
+  SELECT * FROM log
+  WHERE call_date BETWEEN DATE '{CUT_PERIOD[0]}' AND DATE '{CUT_PERIOD[1]}')""" \
+    + "," + _fact("chosen") + "," + _summary()
+
 SUMMARY_RATES = ["handle_time_avg", "call_regen", "call_transfer_rate", "call_breakage_rate",
                  "calls_offer_applied_rate", "calls_with_offer_rate",
                  "calls_with_accept_rate"]
@@ -379,6 +385,7 @@ FROM fact LEFT JOIN joinable ON fact.yr_mo = joinable.yr_mo""",
 
     "agent_period_summary": _summary_rows(SUMMARY),
     "agent_period_summary_selected": _summary_rows(SELECTED),
+    "agent_period_summary_from_totals": _summary_rows(CUT),
 
     "scorecard_totals": f"""WITH {SUMMARY}
 SELECT round(coalesce(sum(calls_avg), 0), 6) AS calls_by_day_avg,

@@ -7,18 +7,21 @@ digits; ratios of two whole numbers are left as they are.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics.operators import (
-    facts, features, ordering, ranking, segments, selection, series, smooth, summary, targets)
+    facts, features, ordering, prefix, ranking, segments, selection, series, smooth, summary,
+    targets)
 from opsmetrics.sources import driver_tables
-from opsmetrics.storage import materialize
+from opsmetrics.storage import materialize, shared_folder, write_fact
 
 # Parameters of the registered queries; the SQL reads the same ones.
 PERIOD = (dt.date(1996, 3, 1), dt.date(1999, 10, 31))
+CUT_PERIOD = (dt.date(1993, 2, 12), dt.date(1997, 8, 19))
 LEADS = ["NATION_15", "NATION_16", "NATION_20"]
 LEAD = "NATION_15"
 TOP_N = 10
@@ -132,6 +135,16 @@ def agent_period_summary_selected(spark, folder):
     return rounded(_selected_summary(spark, folder), 6)
 
 
+def agent_period_summary_from_totals(spark, folder):
+    """A range that cuts months, from stored running totals and the two cut months."""
+    path = f"{shared_folder(spark).rstrip('/')}/opsmetrics-{uuid.uuid4().hex}"
+    write_fact(_fact(spark, folder), f"{path}/fact")
+    stored = spark.read.parquet(f"{path}/fact")
+    prefix.write_running_totals(stored, f"{path}/totals")
+    found = prefix.summary_of_period(spark, f"{path}/fact", f"{path}/totals", *CUT_PERIOD)
+    return rounded(found, 6)
+
+
 def scorecard_totals(spark, folder):
     return rounded(summary.scorecard_totals(_summary(spark, folder)), 6)
 
@@ -302,7 +315,7 @@ def segment_labels(spark, folder):
 QUERIES: dict[str, Query] = {query.__name__: query for query in [
     call_log, targets_wide, targets_joinable,
     agent_daily_fact, agent_daily_vs_target,
-    agent_period_summary, agent_period_summary_selected,
+    agent_period_summary, agent_period_summary_selected, agent_period_summary_from_totals,
     scorecard_totals, scorecard_rates, scorecard_rates_selected, scorecard_text,
     scorecard_totals_selected, scorecard_text_selected,
     filter_choices, agents_of_lead,
