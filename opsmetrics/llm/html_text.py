@@ -1,10 +1,10 @@
 """Main text of web pages: page structure, and subtrees that a site repeats.
 
-A page is parsed into elements. Elements that are no part of an article by their tag,
-class, id or role are dropped. What is left, in an article element or not, is compared across
-the pages of its host and of its section there, the first folder of the path: each element's
-subtree is hashed, Spark counts on how many pages of a site a hash occurs, and subtrees that
-recur across many of them are dropped. Pages of the same main text count as one.
+A page is parsed into elements, and every element's subtree is hashed, in an article element
+or not. Spark counts on how many pages of a host, and of its section there, the first folder of
+the path, a hash occurs; subtrees that recur across many of them are templates and dropped.
+Pages of the same main text count as one. Elements that are no part of an article by their tag,
+class, id or role are listed: they are hashed and counted like others, and dropped on any site.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ BLOCKS = frozenset(
 ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
              "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article main body td th".split())
+LIST_SCOPES = SCOPES - {"td", "th"}
 
 # What is no part of an article.
 DROPPED_TAGS = frozenset(
@@ -54,9 +55,8 @@ NAMED_FREELY = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"
     r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
+_ATTRIBUTE = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 _NAME_PART = re.compile(r"[A-Za-z]+")
-_SPACE = re.compile(r"\s+")
 
 MIN_PAGES = 10
 FEW_PAGES = 3
@@ -64,14 +64,18 @@ MIN_SHARE = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "children", "dropped", "kept_whole")
+    __slots__ = ("tag", "children", "listed", "template")
 
-    def __init__(self, tag: str, dropped: bool = False, kept_whole: bool = False):
+    def __init__(self, tag: str, listed: bool = False):
         self.tag, self.children = tag, []
-        self.dropped, self.kept_whole = dropped, kept_whole
+        self.listed, self.template = listed, False
 
+    @property
+    def dropped(self) -> bool:
+        return self.listed or self.template
 
-def _is_dropped(tag: str, attributes: str) -> bool:
+
+def _is_listed(tag: str, attributes: str) -> bool:
     if tag in DROPPED_TAGS:
         return True
     if "=" not in attributes or tag in NAMED_FREELY:
@@ -89,9 +93,20 @@ def _is_dropped(tag: str, attributes: str) -> bool:
 
 def parse(html: str) -> Element:
     """A tree of elements and texts. Unclosed elements end where the HTML standard's main
-    rules or the page end them; stray end tags are ignored."""
+    rules or the page end them; stray end tags are ignored. ``places`` has the depths of the
+    open elements of each tag, so that a step costs what it closes."""
     root = Element("#root")
     path, at, length = [root], 0, len(html)
+    places: dict[str, list[int]] = {}
+
+    def close(depth):
+        for element in path[depth:]:
+            places[element.tag].pop()
+        del path[depth:]
+
+    def innermost(tags):
+        return max((places[tag][-1] for tag in tags if places.get(tag)), default=0)
+
     while at < length:
         match = _TOKEN.search(html, at)
         if match is None:
@@ -104,34 +119,25 @@ def parse(html: str) -> Element:
             continue
         tag = match.group(2).lower()
         if match.group(1):
-            for depth in range(len(path) - 1, 0, -1):
-                if path[depth].tag == tag:
-                    del path[depth:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in BLOCKS:
-            for depth in range(len(path) - 1, 0, -1):
-                if path[depth].tag == "p":
-                    del path[depth:]
-                    break
-                if path[depth].tag in SCOPES:
-                    break
+        if tag in BLOCKS and places.get("p") and places["p"][-1] > innermost(SCOPES):
+            close(places["p"][-1])
         if tag in ENDS_LIKE:
-            for depth in range(len(path) - 1, 0, -1):
-                if path[depth].tag in ENDS_LIKE[tag]:
-                    del path[depth:]
-                    break
-                if path[depth].tag in SCOPES and path[depth].tag not in ("td", "th"):
-                    break
+            depth = innermost(ENDS_LIKE[tag])
+            if depth and depth > innermost(LIST_SCOPES):
+                close(depth)
         attributes = match.group(3)
-        element = Element(tag, _is_dropped(tag, attributes))
+        element = Element(tag, _is_listed(tag, attributes))
         path[-1].children.append(element)
         if tag in VOID or attributes.rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = close.end() if close else length
+            ended = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
+            at = ended.end() if ended else length
             continue
+        places.setdefault(tag, []).append(len(path))
         path.append(element)
     return root
 
@@ -160,8 +166,9 @@ def _content(root: Element) -> list[Element]:
     return (_find(root, ("article",), []) or _find(root, ("main",), []) or [root])
 
 
-def _events(root: Element):
-    """(element, entering) and (text, True) in page order, without dropped elements."""
+def _events(root: Element, whole: bool = False):
+    """(element, entering) and (text, True) in page order, without dropped elements unless
+    ``whole``."""
     waiting = [(root, True)]
     while waiting:
         node, entering = waiting.pop()
@@ -170,7 +177,7 @@ def _events(root: Element):
             continue
         waiting.append((node, False))
         waiting.extend((child, True) for child in reversed(node.children)
-                       if isinstance(child, str) or not child.dropped)
+                       if whole or isinstance(child, str) or not child.dropped)
 
 
 def _digest(parts: list[str]) -> int:
@@ -179,11 +186,12 @@ def _digest(parts: list[str]) -> int:
 
 
 def subtrees(root: Element):
-    """(element, hash of tags and texts) of every block element with text, inner first."""
+    """(element, hash of tags and texts) of every block element with text, inner first. Listed
+    elements are hashed by themselves and are no part of the elements around them."""
     open_parts: list[list[str]] = []
-    for node, entering in _events(root):
+    for node, entering in _events(root, whole=True):
         if isinstance(node, str):
-            text = _SPACE.sub(" ", node).strip()
+            text = " ".join(node.split())
             if text and open_parts:
                 open_parts[-1].append(text)
         elif entering:
@@ -192,7 +200,7 @@ def subtrees(root: Element):
             parts = open_parts.pop()
             value = _digest([node.tag, *parts]) if parts else None
             if value is not None:
-                if open_parts:
+                if open_parts and not node.listed:
                     open_parts[-1].append(f"<{value}>")
                 if node.tag in BLOCKS:
                     yield node, value
@@ -201,40 +209,74 @@ def subtrees(root: Element):
 def page_hashes(html: str) -> tuple[int | None, set[int]]:
     """A hash of the page's main text (None without any), and hashes of all its subtrees."""
     root = parse(html)
-    main = [str(value) for part in _content(root) for _, value in subtrees(part)]
-    return (_digest(main) if main else None), {value for _, value in subtrees(root)}
+    value_of = {id(element): value for element, value in subtrees(root)}
+    main = [str(value_of[id(node)]) for part in _content(root)
+            for node, entering in _events(part) if not entering and id(node) in value_of]
+    return (_digest(main) if main else None), set(value_of.values())
 
 
-def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article in page order, joined by newlines."""
-    roots = content(html)
-    if templates:
-        for root in roots:
-            for element, value in list(subtrees(root)):
-                if value in templates:
-                    element.dropped = True
+def _visible(root: Element) -> str:
+    """Blocks in page order without dropped elements, joined by newlines."""
     blocks, current = [], []
 
     def end_block():
-        text = _SPACE.sub(" ", unescape("".join(current))).strip()
+        text = " ".join(unescape("".join(current)).split())
         current.clear()
         if text:
             blocks.append(text)
 
-    for root in roots:
-        if root.dropped:
-            continue
-        for node, entering in _events(root):
-            if isinstance(node, str):
-                current.append(node)
-            elif node.tag in BLOCKS:
-                end_block()
-            elif node.tag == "br" and entering:
-                current.append(" ")
-        end_block()
+    for node, entering in _events(root):
+        if isinstance(node, str):
+            current.append(node)
+        elif node.tag in BLOCKS:
+            end_block()
+        elif node.tag == "br" and entering:
+            current.append(" ")
+    end_block()
     return "\n".join(blocks)
 
 
+def _removed(root: Element) -> tuple[int, int]:
+    """Code points of the page's texts, trimmed, in listed elements and in templates; a text
+    in both counts for both."""
+    counts, inside = [0, 0], [0, 0]
+    for node, entering in _events(root, whole=True):
+        if isinstance(node, str):
+            if any(inside):
+                size = len(node.strip())
+                for i in (0, 1):
+                    if inside[i]:
+                        counts[i] += size
+        else:
+            step = 1 if entering else -1
+            inside[0] += step * node.listed
+            inside[1] += step * node.template
+    return counts[0], counts[1]
+
+
+def article(html: str, templates: frozenset[int] | set[int] = frozenset(),
+            lists: bool = True) -> tuple[str, int, int]:
+    """Main text of a page, and the code points of its texts that the lists and the templates
+    each remove. ``lists=False`` drops templates alone."""
+    root = parse(html)
+    parts = _content(root)
+    if templates:
+        for element, value in list(subtrees(root)):
+            element.template = value in templates
+    removed = _removed(root)
+    if not lists:
+        for node, _ in _events(root, whole=True):
+            if not isinstance(node, str):
+                node.listed = False
+    text = "\n".join(filter(None, (_visible(part) for part in parts if not part.dropped)))
+    return text, *removed
+
+
+def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the article in page order, joined by newlines."""
+    return article(html, templates)[0]
+
+
 _HASHES = pa.schema([("host", pa.string()), ("site", pa.string()), ("main", pa.int64()),
                      ("hashes", pa.list_(pa.int64()))])
 
@@ -252,11 +294,15 @@ def _hash_pages(batches):
 def _extract(batches):
     for batch in slices(batches, "html"):
         templates = batch.column("_templates").to_pylist()
-        texts = [main_text(html, set(t or ()))
+        found = [article(html, set(t or ()))
                  for html, t in zip(texts_of(batch.column("html")), templates)]
         out = batch.select(["_row", "url"])
-        out = out.append_column("text", pa.array(texts, pa.string()))
-        yield out.append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
+        out = out.append_column("text", pa.array([text for text, _, _ in found], pa.string()))
+        for name, values in (("n_chars", [len(text) for text, _, _ in found]),
+                             ("n_listed", [listed for _, listed, _ in found]),
+                             ("n_template", [template for _, _, template in found])):
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        yield out
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES,
@@ -285,11 +331,12 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES,
 
 def extract_text(pages: DataFrame, row_id: str = "page_id", min_pages: int = MIN_PAGES,
                  min_share: float = MIN_SHARE) -> DataFrame:
-    """``row_id, url, text, n_chars`` of every row of ``pages``.
+    """``row_id, url, text, n_chars, n_listed, n_template`` of every row of ``pages``.
 
     The text is that of the article elements, else of the main element, else of the page,
-    without elements dropped by tag, role, class or id and without the subtrees that recur
-    on the host or, of URLs with a folder, on the first folder. Character references are
+    without elements listed by tag, role, class or id and without the subtrees that recur
+    on the host or, of URLs with a folder, on the first folder. ``n_listed`` and
+    ``n_template`` are the code points of the whole page's texts in either, some in both. Character references are
     decoded, white space inside a block becomes one space, blocks are trimmed and joined
     by newlines. Null or empty HTML gives an empty text; a null URL belongs to the host
     with the empty name. Rows stay rows, also repeated ones and those with a null id. No
@@ -312,5 +359,6 @@ def extract_text(pages: DataFrame, row_id: str = "page_id", min_pages: int = MIN
     joined = (rows.join(templates, F.col("site") == F.col("_site"), "left")
               .select("_row", "url", "html", "_templates"))
     of_row = rows.schema["_row"].dataType.simpleString()
-    return (joined.mapInArrow(_extract, f"_row {of_row}, url string, text string, n_chars bigint")
+    return (joined.mapInArrow(_extract, f"_row {of_row}, url string, text string, n_chars bigint, "
+                                        "n_listed bigint, n_template bigint")
             .withColumnRenamed("_row", row_id))
