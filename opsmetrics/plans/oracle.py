@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from opsmetrics.operators.digits import LEAST_GAP, MOST_DIGITS
 from opsmetrics.operators.segments import SEGMENT_LABELS
 from opsmetrics.operators.summary import GAUGE_SECTORS
 from opsmetrics.plans.registry import (
@@ -443,6 +444,34 @@ changed AS (
          (calls - calls_lag_1)::DOUBLE / NULLIF(calls_lag_1, 0) AS pct_diff_1 FROM lagged)
 SELECT *, {_percent("pct_diff_1")} AS pct_diff_1_chr FROM changed""",
 
+    "calls_weekly_change_digits": f"""WITH {WEEKLY},
+lagged AS (
+  SELECT *, coalesce(lag(calls) OVER (ORDER BY week_num), calls) AS calls_lag_1 FROM weekly),
+changed AS (
+  SELECT *, calls - calls_lag_1 AS diff_1,
+         (calls - calls_lag_1)::DOUBLE / NULLIF(calls_lag_1, 0) AS pct_diff_1 FROM lagged),
+percents AS (SELECT DISTINCT pct_diff_1 * 100 AS pct FROM changed WHERE isfinite(pct_diff_1)),
+gaps AS (SELECT pct - lag(pct) OVER (ORDER BY pct) AS gap FROM percents),
+smallest AS (SELECT min(gap) AS gap FROM gaps),
+fine AS (
+  SELECT CASE WHEN gap >= {LEAST_GAP!r} THEN 1 - floor(log10(gap))::INTEGER END AS d
+  FROM smallest),
+needed AS (
+  SELECT coalesce(least(greatest(
+           CASE WHEN (SELECT bool_and(round_even(pct * pow(10.0::DOUBLE, d), 0) % 10 = 0)
+                      FROM percents)
+                THEN d - 1 ELSE d END, 0), {MOST_DIGITS}), 0) AS d
+  FROM fine),
+units AS (
+  SELECT changed.*, d, pow(10.0::DOUBLE, d)::BIGINT AS base,
+         floor(abs(pct_diff_1) * (100 * pow(10.0::DOUBLE, d)) + 0.5)::BIGINT AS n
+  FROM changed CROSS JOIN needed)
+SELECT * EXCLUDE (d, base, n),
+       CASE WHEN pct_diff_1 < 0 AND n > 0 THEN '-' ELSE '' END || (n // base)
+       || CASE WHEN d > 0 THEN '.' || lpad((n % base)::VARCHAR, d, '0') ELSE '' END
+       || '%' AS pct_text
+FROM units""",
+
     "calls_weekly_rolling": f"""WITH {WEEKLY}
 SELECT week_num, calls,
        {_trailing("calls", 2, "ORDER BY week_num", "0")} AS roll_mean_2,

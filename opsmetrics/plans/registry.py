@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics.operators import (
-    facts, features, ordering, prefix, ranking, segments, selection, series, smooth, summary,
+    digits, facts, features, ordering, prefix, ranking, segments, selection, series, smooth, summary,
     targets)
 from opsmetrics.sources import driver_tables
 from opsmetrics.storage import materialize, shared_folder, write_fact
@@ -203,6 +203,11 @@ def calls_weekly_change(spark, folder):
     return _weekly(spark, folder).transform(series.pct_change("week_num"))
 
 
+def calls_weekly_change_digits(spark, folder):
+    changed = materialize(calls_weekly_change(spark, folder).drop("pct_diff_1_chr"))
+    return digits.with_percent_text(changed, "pct_diff_1", "pct_text")
+
+
 def calls_weekly_rolling(spark, folder):
     return series.calls_weekly_rolling(_weekly(spark, folder))
 
@@ -321,7 +326,7 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in [
     filter_choices, agents_of_lead,
     calls_per_day, calls_per_day_smoothed,
     calls_per_day_selected, calls_per_day_smoothed_selected,
-    calls_weekly, calls_weekly_change, calls_weekly_rolling,
+    calls_weekly, calls_weekly_change, calls_weekly_change_digits, calls_weekly_rolling,
     calls_monthly, calls_monthly_vs_first, calls_monthly_cumulative,
     calls_cumulative_by_month, weekly_offers_rolling3,
     top_agents, agent_metric_long, agent_features,
