@@ -25,6 +25,7 @@ BUCKETS = 1 << 20
 MOST_FEATURES = 1 << 16
 LEAST_DOCS = 3
 SAMPLE_DOCS = 6000
+BLOCK = 1 << 20
 SCALE_FOLD = 1
 
 
@@ -168,8 +169,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     found, target = sample(known.filter("_scale"), sample_docs)
     scale = (1.0, float(np.log(documents[1] / documents[0])))
     if len(set(target)) == 2:
-        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        z = _decisions(of, weights[np.concatenate(found)], len(found))
+        z = np.concatenate([_decisions(np.zeros(len(x), np.int64), weights[x], 1) for x in found])
         scale = fit_scale(z + bias, target)
     table = np.zeros(BUCKETS, np.float32)
     table[bucket] = weights
@@ -193,16 +193,25 @@ def fit_logistic(found: list[np.ndarray], target: np.ndarray, ratios: np.ndarray
                  ridge: float = 1e-4, steps: int = 200, rate: float = 0.05):
     """Logistic regression on sparse binary features scaled by ``ratios`` (Adam, full batch)."""
     sizes = np.array([len(x) for x in found])
-    column = np.concatenate(found) if len(found) else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(found)), sizes)
-    value = ratios[column] / np.sqrt(1 + sizes)[row]
+    shrink = 1 / np.sqrt(1 + sizes)
+    # Blocks of whole documents, so that only buckets and no products of all are held.
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(BLOCK, sizes.sum() + BLOCK, BLOCK)) + 1
+    blocks = [(slice(x, y), np.concatenate(found[x:y])) for x, y in
+              zip(np.append(0, cuts[:-1]), np.minimum(cuts, len(found))) if x < y]
     at = np.zeros(len(ratios) + 1)
     m, v = np.zeros_like(at), np.zeros_like(at)
     for step in range(1, steps + 1):
-        z = np.bincount(row, value * at[column], minlength=len(found)) + at[-1]
+        scaled, z, g = ratios * at[:-1], np.zeros(len(found)), np.zeros_like(at)
+        for part, column in blocks:
+            row = np.repeat(np.arange(part.stop - part.start), sizes[part])
+            z[part] = np.bincount(row, scaled[column], minlength=part.stop - part.start)
+        z = z * shrink + at[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(found)
-        g = np.append(np.bincount(column, value * error[row], minlength=len(ratios)),
-                      error.sum())
+        for part, column in blocks:
+            g[:-1] += np.bincount(column, np.repeat((error * shrink)[part], sizes[part]),
+                                  minlength=len(ratios))
+        g[:-1] *= ratios
+        g[-1] = error.sum()
         g[:-1] += ridge * at[:-1]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g

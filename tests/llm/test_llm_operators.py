@@ -506,6 +506,27 @@ def test_chain_marginals_match_enumeration():
     assert pairs.sum() == pytest.approx(6)
 
 
+@pytest.mark.parametrize("block", [1, 50, 1 << 20])
+def test_regression_in_blocks_of_documents(monkeypatch, block):
+    random.seed(4)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    found = [np.array(sorted(random.sample(range(30), k)), np.int32) for k in (0, 3, 9, 30, 1, 0)]
+    target, ratios = np.array([0., 1, 0, 1, 1, 0]), np.linspace(-1, 2, 30)
+    dense = np.zeros((6, 30))
+    for i, buckets in enumerate(found):
+        dense[i, buckets] = ratios[buckets] / np.sqrt(1 + len(buckets))
+    dense = np.column_stack([dense, np.ones(6)])
+    at, m, v = np.zeros(31), np.zeros(31), np.zeros(31)
+    for step in range(1, 21):
+        g = dense.T @ ((1 / (1 + np.exp(-dense @ at)) - target) / 6)
+        g[:-1] += 1e-4 * at[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        at = at - (0.05 * (1 - step / 21) * (m / (1 - 0.9 ** step))
+                   / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8))
+    weights, bias = toxicity.fit_logistic(found, target, ratios, steps=20)
+    assert np.allclose(np.append(weights, bias), at, atol=1e-9)
+
+
 def test_toxicity_learns_words(spark, odd, none):
     docs, labels = labelled(spark, lambda i, bad: prose(i, 30) + (" Blarg!" if bad else " fine"))
     model = toxicity.fit_toxicity(docs, labels, "label")
