@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -614,6 +615,49 @@ def test_network_limit_keeps_the_recall():
     assert found.mean() >= 0.99 and net.recall == found.mean() and net.limit < 0.9
 
 
+def test_every_finding_of_every_document_teaches(spark):
+    """More findings, plain runs and pieces than a few of each document, and far documents."""
+    random.seed(43)
+    keys = ["".join(random.choice("0123456789abcdef") for _ in range(30)) for _ in range(70)]
+    plain = ["plain_" + "".join(random.choice("klmnop_") for _ in range(20)) for _ in range(30)]
+    long = "Q7" * 2000
+    rows = [(i, f"{keys[i]} {plain[i % 30]}") for i in range(40)]
+    rows += [(100, " ".join(keys[40:] + plain)), (101, " ".join([*keys, long])), (102, None),
+             (None, "no_id_but_plain_run x9")]
+    batch = pa.RecordBatch.from_pylist([{"text": t, "_held": i == 100} for i, t in rows])
+    found = pa.Table.from_batches(secret_scan._findings([batch])).to_pylist()
+    assert sum(r["label"] for r in found) == 40 + 30 + 70
+    assert sum(not r["label"] for r in found) == 40 + 30 + 1 + 1
+    assert sum(r["held"] for r in found) == 60
+    assert max(len(r["window"]) // secret_scan.WIDTH for r in found) == len(
+        secret_scan.pieces((0, len(long)))) > 64
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nets = [secret_scan.fit_network(docs, per_shard=30, rounds=1) for _ in range(2)]
+    assert nets[0].limit == nets[1].limit and (nets[0].filters == nets[1].filters).all()
+    classes = np.concatenate([secret_scan.windows(t, [(0, 30)]) for _, t in rows[:40]])
+    assert (nets[0].scores(classes) > 0.5).mean() > 0.9
+
+
+def test_the_limit_in_spark_is_that_of_arrays(spark):
+    random.seed(47)
+    rows, labels = [], []
+    for i in range(300):
+        text = "".join(random.choice("ab12" if i % 5 else "a1f3") for _ in range(20 + 9 * (i % 9)))
+        rows.append(secret_scan.windows(text, secret_scan.pieces((0, len(text)))))
+        labels.append(int(i % 5 == 0))
+    net = secret_scan.train(np.concatenate(rows), np.repeat(labels, [len(r) for r in rows]),
+                            epochs=1)
+    held = spark.createDataFrame(
+        [(bytearray(r.tobytes()), x) for r, x in zip(rows, labels)], "window binary, label int")
+    secret_scan.calibrate_on(net, held)
+    limit, scale, recall = net.limit, net.scale, net.recall
+    sizes = np.array([len(r) for r in rows])
+    secret_scan.calibrate(net, np.concatenate(rows), np.array(labels, float),
+                          first=np.cumsum(sizes) - sizes)
+    assert limit == pytest.approx(net.limit, abs=1e-9) and recall == net.recall >= 0.98
+    assert scale == pytest.approx(net.scale, rel=1e-6)
+
+
 class Digits(secret_scan.Network):
     """Calls a window with eight digits in its middle a secret."""
 
