@@ -27,12 +27,15 @@ SEGMENT_SHORT_LABEL_TEXT = "Agent: {agent_name}\nLead: {team_lead_name}\nCluster
 SEGMENT_LABEL_TEXT = SEGMENT_SHORT_LABEL_TEXT + "\n{cluster_label}"
 
 
-# Agents compared at a time; tasks whose sums the driver adds up itself; iterations between
-# two stored margins; the share of distances taken from which margins are stored anew.
-POINTS = 256
+# Agents compared at a time; agents in a stored file; tasks whose sums the driver adds up
+# itself; iterations between two stored margins; the share of distances taken from which
+# margins are stored anew, and the share of the fits they are of below which they are too.
+POINTS = 1024
+PER_FILE = 2048
 FEW_TASKS = 16
 FULL_STEPS = 3
 REFRESH = 0.4
+STILL = 0.5
 
 
 @dataclass(frozen=True)
@@ -93,6 +96,32 @@ def _squares(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return ((points[..., None, :] - centers) ** 2).sum(axis=-1)
 
 
+def _nearest(points: np.ndarray,
+             centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest center of each point (n, d) in each fit (fits, k, d), the first of equally
+    near ones, no less than its distance and no more than that of the next one.
+
+    Distances come from products of points and centers, whose rounding errors are below
+    ``error``; points with two centers as near as that are compared by differences.
+    """
+    squares = (points ** 2).sum(axis=1)[:, None]
+    sizes = (centers ** 2).sum(axis=-1)
+    error = 4e-15 * (4 + points.shape[1]) * (squares + sizes.max())
+    best = points @ (-2 * centers[:, 0].T) + sizes[:, 0]
+    nearest, second = np.zeros(best.shape, np.int64), np.full(best.shape, np.inf)
+    for j in range(1, centers.shape[1]):
+        other = points @ (-2 * centers[:, j].T) + sizes[:, j]
+        nearest[other < best] = j
+        np.minimum(second, np.maximum(best, other), out=second)
+        np.minimum(best, other, out=best)
+    row, fit = np.nonzero(second - best <= 2 * error)
+    for start in range(0, len(row), POINTS):
+        r, f = row[start:start + POINTS], fit[start:start + POINTS]
+        nearest[r, f] = _squares(points[r], centers[f]).argmin(axis=-1)
+    return (nearest, np.sqrt(np.maximum(best + squares + error, 0)),
+            np.sqrt(np.maximum(second + squares - error, 0)))
+
+
 @dataclass(frozen=True)
 class Fits:
     """Fits of equally many centers: their numbers and all their centers (fits, k, d). With
@@ -147,13 +176,19 @@ def _changes(points: np.ndarray, fits: Fits, nearest: np.ndarray | None,
     number, k, _ = fits.centers.shape
     size = number * k
     if margin is None:
-        cells = _squares(points[:, None, :], fits.centers).argmin(axis=-1) + np.arange(number) * k
-        return (_sums(cells.ravel(), np.repeat(points, number, axis=0), size)
-                .reshape(number, k, -1), cells.size * k)
+        near, total = _nearest(points, fits.centers)[0], np.empty((number, k, 1 + points.shape[1]))
+        ones = np.concatenate([np.ones((len(points), 1)), points], axis=1)
+        for j in range(k):
+            total[:, j] = (near == j).T.astype(float) @ ones
+        return total, near.size * k
     nearest, margin = nearest[:, fits.place].astype(np.int64), margin[:, fits.place]
     limit = fits.moved[np.arange(number), nearest] + fits.moved.max(axis=1)
-    row, fit = np.nonzero(margin <= limit * (1 + 1e-6) + 1e-9)
-    after = _squares(points[row], fits.centers[fit]).argmin(axis=-1)
+    fit, row = np.nonzero((margin <= limit * (1 + 1e-6) + 1e-9).T)
+    after = np.empty(len(row), np.int64)
+    ends = np.searchsorted(fit, np.arange(number + 1))
+    for f in np.flatnonzero(np.diff(ends)):
+        at = slice(ends[f], ends[f + 1])
+        after[at] = _nearest(points[row[at]], fits.centers[f:f + 1])[0][:, 0]
     before = nearest[row, fit]
     other = after != before
     cells, moving = fit[other] * k, points[row[other]]
@@ -182,7 +217,9 @@ def _step(batches, width: int, running: list[Fits], ending: list[Fits], kind: ty
                 taken += compared
                 there += len(points[at]) * fits.centers[..., 0].size
             for total, fits in zip(squares, ending):
-                total += _squares(points[at][:, None, :], fits.centers).min(axis=-1).sum(axis=0)
+                near = _nearest(points[at], fits.centers)[0]
+                for f, centers in enumerate(fits.centers):
+                    total[f] += ((points[at] - centers[near[:, f]]) ** 2).sum()
     ids, clusters = [np.array([-1])], [np.array([-1])]
     sums = [np.array([[taken, there, *[0] * (width - 1)]], float)]
     for fits, total in zip(running, totals):
@@ -206,12 +243,11 @@ def _anchored(batches, running: list[Fits], kind: type):
         points = _points(batch)
         nearest, margin = [], []
         for fits in running:
-            squares = np.concatenate([
-                _squares(points[start:start + POINTS, None, :], fits.centers)
-                for start in range(0, len(points), POINTS)])
-            nearest.append(squares.argmin(axis=-1).astype(kind))
-            two = np.sqrt(np.partition(squares, 1, axis=-1)[..., :2])
-            margin.append(((two[..., 1] - two[..., 0]) * (1 - 1e-6)).astype(np.float32))
+            found = [_nearest(points[start:start + POINTS], fits.centers)
+                     for start in range(0, len(points), POINTS)]
+            near, best, second = (np.concatenate(x) for x in zip(*found))
+            nearest.append(near.astype(kind))
+            margin.append(((second - best) * (1 - 1e-6)).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
             [batch.column("v"),
              *[pa.array([row.tobytes() for row in np.concatenate(x, axis=1)], pa.binary())
@@ -255,8 +291,8 @@ def _best_fits(vectors: DataFrame, ks: list[int], n_init: int,
 
     The first iterations move centers far and compare all agents with all centers. Then each
     agent's nearest center and margin are stored with it, and iterations compare only agents
-    whose margin the moves since then have used up; when those are many, margins are stored
-    anew. Centers and counts are the same either way. What the driver holds is bounded by the
+    whose margin the moves since then have used up; when those are many, or most of the fits
+    have ended, margins are stored anew. Centers and counts are the same either way. What the driver holds is bounded by the
     parameters: k centers and sums for each start and k. ``work`` gets the numbers of
     distances taken and there, for each iteration.
     """
@@ -278,7 +314,8 @@ def _best_fits(vectors: DataFrame, ks: list[int], n_init: int,
     ending, ended, step = [], {}, 0
     while running or ending:
         step += 1
-        if running and step > FULL_STEPS and step - last > FULL_STEPS and share > REFRESH:
+        if running and step > FULL_STEPS and step - last > FULL_STEPS and (
+                share > REFRESH or _number(running) < STILL * _number(anchor.fits)):
             table, anchor = _with_anchor(vectors, running, width, few)
             last, share = step, 0.0
         moved = {k: anchor.since(k, f) for k, f in running.items()} if anchor else running
@@ -311,6 +348,10 @@ def _best_fits(vectors: DataFrame, ks: list[int], n_init: int,
                    key=lambda f: (round(f.within, 12),)) for k in ks}
 
 
+def _number(fits: dict[int, Fits]) -> int:
+    return sum(len(f.ids) for f in fits.values())
+
+
 def _with_anchor(vectors: DataFrame, running: dict[int, Fits],
                  width: int, few: bool) -> tuple[DataFrame, Anchor]:
     """The stored table of agents with their margins, and what the driver keeps of it."""
@@ -331,8 +372,10 @@ def _assign(batches, centers: np.ndarray, numbers: list[int]):
 
 
 def _as_arrays(vectors: DataFrame) -> DataFrame:
-    """Stored once, as every iteration reads it."""
-    return materialize(vectors.select("agent_name", vector_to_array("features").alias("v")))
+    """Stored once, as every iteration reads it, in files by number of agents: an iteration's
+    work is many times their bytes, by which they would all be one task's."""
+    vectors = vectors.select("agent_name", vector_to_array("features").alias("v"))
+    return materialize(vectors.repartition(max(1, -(-vectors.count() // PER_FILE)), "agent_name"))
 
 
 def segment_kmeans(features: DataFrame, k: int = 3, n_init: int = 100,

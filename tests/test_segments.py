@@ -196,3 +196,28 @@ def test_each_margin_is_a_lower_bound(spark):
             number = (sums[4] + anchor.sums[4][[0, 2]])[i, :, 0]
             assert number.round().tolist() == np.bincount(nearest, minlength=4).tolist()
         assert there == 200 * 2 * 4 and (taken == 0 if scale == 0 else taken <= there)
+
+
+def test_agents_are_stored_by_number_and_not_by_bytes(spark, monkeypatch):
+    """Few bytes and much work: a table of a few hundred kB is read by several tasks."""
+    monkeypatch.setattr(segments, "PER_FILE", 500)
+    df = spark.range(2000).select(F.concat(F.lit("a"), "id").alias("agent_name"),
+                                  F.rand(1).alias("u"), F.rand(2).alias("v"))
+    stored = segments._as_arrays(segments._vectors(df, ["u", "v"], False))
+    assert stored.count() == 2000 and len(stored.inputFiles()) == 4
+    assert stored.rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_products_find_the_center_that_differences_find(offset):
+    """Also where centers are equally near, or nearer than products can tell."""
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.integers(0, 4, (400, 2)), rng.uniform(0, 4, (400, 2))]) + offset
+    centers = np.concatenate([rng.integers(0, 4, (20, 5, 2)), data[rng.integers(0, 800, (20, 5))],
+                              rng.uniform(0, 4, (1, 5, 2)) + [[[0, 0]] * 4 + [[1e-13, 0]]]])
+    centers[:20] += offset
+    nearest, best, second = segments._nearest(data, centers)
+    exact = np.sqrt(((data[:, None, None, :] - centers) ** 2).sum(axis=-1))
+    assert (nearest == exact.argmin(axis=-1)).all()
+    two = np.sort(exact, axis=-1)
+    assert (best >= two[..., 0]).all() and (second <= two[..., 1]).all()
