@@ -27,6 +27,7 @@ LEAST_DOCS = 3
 SAMPLE_DOCS = 6000
 BLOCK = 1 << 20
 SCALE_FOLD = 1
+PARTS_PER_COUNT = 4
 
 
 def grams(texts: list[str], alive: np.ndarray | None = None,
@@ -139,7 +140,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic",
         .hint("merge").join(truth, "doc_id")
         .select("doc_id", "text", "_label", (fold() == SCALE_FOLD).alias("_scale")))
     taught = known.filter("NOT _scale")
-    counts = (taught.select("text", "_label")
+    # A task's counts are of nearly all buckets whatever it reads: fewer tasks write fewer.
+    parts = taught.rdd.getNumPartitions()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-parts // PARTS_PER_COUNT))
+    counts = (taught.select("text", "_label").coalesce(min(parts, tasks))
               .mapInArrow(_count, "bucket int, clean bigint, toxic bigint")
               .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
               .toArrow())

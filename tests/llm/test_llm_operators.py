@@ -560,6 +560,29 @@ def test_toxicity_scores_count_the_buckets_of_the_fit(spark, monkeypatch):
     assert all(np.abs(np.array(list(z.values())) - value).min() < 1e-5 for value in seen["z"])
 
 
+def test_counts_of_buckets_leave_few_tasks(spark, monkeypatch):
+    """Each task writes nearly all buckets, so the counts come from fewer tasks than the rest."""
+    random.seed(53)
+    docs = spark.createDataFrame(
+        [(i, prose(i, 30) + (" rude words" if i % 3 == 0 else "")) for i in range(120)],
+        "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)],
+                                   "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    tasks, count = spark.sparkContext.accumulator(0), toxicity._count
+
+    def counted(batches):
+        tasks.add(1)
+        yield from count(batches)
+
+    monkeypatch.setattr(toxicity, "_count", counted)
+    monkeypatch.setattr(toxicity, "materialize", lambda known: known.repartition(80, "doc_id"))
+    spread = toxicity.fit_toxicity(docs, labels)
+    assert tasks.value == 20
+    assert (spread.selected == model.selected).all()
+    assert spread.weights == pytest.approx(model.weights, abs=1e-6)
+
+
 KEY = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
 
 
