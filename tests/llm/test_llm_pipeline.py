@@ -7,7 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from opsmetrics.llm import decontamination, mixing, near_dedup
+from opsmetrics.llm import decontamination, mixing, near_dedup, secret_scan
 
 CLASHING = ("doc_id bigint, text string, source string, lang string, _hit bigint, _kept_id string, "
             "_key double, `_row` int, `class` string")
@@ -96,3 +96,19 @@ def test_all_stages_keep_clean_rows(spark, tmp_path, rows):
     for name in ("documents",):
         tables[name].limit(0).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_secret_stage_learns_from_every_row_with_a_text(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(clashing(rows), CLASHING)
+    seen, findings = spark.sparkContext.accumulator(0), secret_scan._findings
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        yield from findings(each())
+
+    monkeypatch.setattr(secret_scan, "_findings", counted)
+    assert corpus_pipeline.redact_secrets(spark, docs, "").count() == len(rows)
+    assert seen.value == sum(t is not None for _, t in rows)
