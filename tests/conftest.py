@@ -24,6 +24,15 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_cache_is_left():
+    """A table that one test caches would replace the scans another test looks at."""
+    yield
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.catalog.clearCache()
+
+
 def day(text):
     return dt.date.fromisoformat(text)
 
