@@ -416,6 +416,56 @@ def test_seen_scores_shuffle_ngrams_once(spark):
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("frequent, sample", [(20, 1), (60, 1), (400, 2), (1 << 17, 4)])
+def test_pairs_of_one_text_are_given_up(spark, odd, none, frequent, sample):
+    """Counts by the words themselves; no choice of frequent words and pairs changes a score."""
+    random.seed(53)
+    texts = [(i, prose(i, random.randrange(0, 30), 25)) for i in range(50)]
+    texts += [(100 + i, texts[i][1]) for i in range(10)]
+    texts += [(200, "own own own own"), (201, "rare1 rare2 a rare1"), (202, "rare1 rare2 rare3"),
+              (203, " "), (204, "own"), (205, "rare1 rare2 x"), (205, "rare4 rare5"), (206, None)]
+    count, having = {}, {}
+    for at, (_, t) in enumerate(texts):
+        w = (t or "").split()
+        for gram in [(x,) for x in w] + list(zip(w, w[1:])):
+            count[gram] = count.get(gram, 0) + 1
+            having.setdefault(gram, set()).add(at)
+    total = sum(n for gram, n in count.items() if len(gram) == 1)
+    expected, given_up = {}, 0
+    for doc_id, t in texts:
+        w, whole = (t or "").split(), 0.0
+        for i, word in enumerate(w):
+            gram = tuple(w[max(0, i - 1):i + 1])
+            if i and len(having[gram]) > 1:
+                whole += np.log(count[gram] / count[gram[:1]])
+            else:
+                whole += np.log(count[word,] / total) + (np.log(0.4) if i else 0)
+                given_up += i > 0
+        n, so_far = expected.get(doc_id, (0, 0.0))
+        expected[doc_id] = n + len(w), so_far + whole
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = lm_scores.supported_scores(
+        docs, frequent=frequent, sample=sample, per_part=100).collect()
+    assert given_up > 100 and len(found) == len(expected)
+    for r in found:
+        n, whole = expected[r.doc_id]
+        assert r.n_words == n and r.total == pytest.approx(whole, abs=1e-9)
+        assert r.score == pytest.approx(whole / n) if n else r.score is None
+    assert {r.doc_id for r in lm_scores.supported_scores(odd).collect()} == {1, 2, 3, 4, 5}
+    assert lm_scores.supported_scores(none).count() == 0
+
+
+def test_supported_scores_shuffle_pairs_once(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(50)],
+                                 "doc_id bigint, text string")
+    scored = lm_scores.supported_scores(docs, frequent=1, per_part=10)
+    assert len(scored.collect()) == 50
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("== Initial Plan ==")]
+    assert plan.count("mapInArrow") + plan.count("MapInArrow") == 2
+    assert plan.count("ReusedExchange") == 2
+
+
 @pytest.mark.parametrize("large", [1e12, 3e7, 6e4])
 def test_search_of_large_components(spark, large):
     """Squares that pass 64 bits, and products that do or nearly do, against plain integers."""
