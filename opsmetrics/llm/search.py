@@ -5,7 +5,8 @@ all of them on a sphere as wide as the longest, queries get a 0 there. Among vec
 sphere a larger inner product is a smaller Euclidean distance. Rows are dealt out evenly to
 trees of bounded size; a tree's pages hold routing objects with covering radii and the
 distances to their parents. Each query goes best-first through each tree, skipping pages
-and entries by the triangle inequality. Scores themselves are exact integers.
+and entries by the triangle inequality; the queries of a block that are at the same page take
+it together, by products of matrices. Scores themselves are exact integers.
 """
 
 from __future__ import annotations
@@ -106,6 +107,72 @@ def search(root: Page, center: np.ndarray, query: np.ndarray, exact, k: int,
     return best
 
 
+def search_block(root: Page, center: np.ndarray, points: np.ndarray, products, reach_of,
+                 ids: np.ndarray, own: np.ndarray, k: int, slack: float = SLACK):
+    """``query, row, score`` of the k best rows of the tree for each of ``points``, ties to the
+    smaller of ``ids``; a row with the id in ``own`` is no candidate of that query.
+
+    As ``search``, in rounds: every query takes the nearest of its waiting pages, one until it
+    has k rows and then twice as many as in the round before. ``products`` gives the scores of
+    queries and rows, ``reach_of`` the distances that the worst kept scores of queries allow.
+    """
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), products([], [])[:0].ravel()]
+    worst = np.zeros(len(points), best[2].dtype)
+    reach = np.full(len(points), np.inf)
+    pages, children_at = [root], {}
+    query, page = np.arange(len(points)), np.zeros(len(points), np.int64)
+    floor, away = np.zeros(len(points)), np.sqrt(((points - center) ** 2).sum(axis=1))
+    take = 1
+    while True:
+        near = floor <= reach[query] + slack
+        query, page, floor, away = query[near], page[near], floor[near], away[near]
+        if not len(query):
+            return best
+        take = 1 if np.isinf(reach[query]).any() else 2 * take
+        by = np.lexsort((floor, query))
+        now = np.zeros(len(by), bool)
+        now[by] = np.arange(len(by)) - np.searchsorted(query[by], query[by]) < take
+        at = np.flatnonzero(now)
+        at = at[np.argsort(page[at], kind="stable")]
+        waiting = [[x[~now]] for x in (query, page, floor, away)]
+        found = [[x] for x in best]
+        for of in np.split(at, np.flatnonzero(np.diff(page[at])) + 1):
+            here, asking = pages[page[of[0]]], query[of]
+            lower = np.abs(away[of, None] - here.to_parent)
+            if here.radius is not None:
+                lower = lower - here.radius
+            close = lower <= reach[asking, None] + slack
+            entries = np.flatnonzero(close.any(axis=0))
+            if here.children is None:
+                rows = here.rows[entries]
+                scores = products(asking, rows)
+                keep = close[:, entries] & (ids[rows] != own[asking, None])
+                keep &= np.isinf(reach[asking, None]) | (scores >= worst[asking, None])
+                i, j = np.nonzero(keep)
+                for column, more in zip(found, (asking[i], rows[j], scores[i, j])):
+                    column.append(more)
+                continue
+            to_object = np.stack([_distances(points[asking], here.objects[e]) for e in entries]
+                                 or [np.zeros(len(asking))[:0]], axis=-1)
+            below = np.maximum(floor[of, None], to_object - here.radius[entries])
+            i, j = np.nonzero(close[:, entries] & (below <= reach[asking, None] + slack))
+            if page[of[0]] not in children_at:
+                children_at[page[of[0]]] = len(pages)
+                pages += here.children
+            for column, more in zip(waiting, (asking[i], children_at[page[of[0]]] + entries[j],
+                                              below[i, j], to_object[i, j])):
+                column.append(more)
+        query, page, floor, away = map(np.concatenate, waiting)
+        of, row, score = map(np.concatenate, found)
+        by = np.lexsort((ids[row], -score, of))
+        rank = np.arange(len(by)) - np.searchsorted(of[by], of[by])
+        by, rank = by[rank < k], rank[rank < k]
+        best = [of[by], row[by], score[by]]
+        full = rank == k - 1
+        worst[best[0][full]] = best[2][full]
+        reach[best[0][full]] = reach_of(best[0][full], best[2][full])
+
+
 def _quantized(embedding: str, scale: int):
     def whole(x):
         scaled = F.floor(x.cast("double") * scale)
@@ -150,38 +217,29 @@ def _search_pairs(batches, k: int, length: float):
         for tree, block in zip(batch.column("tree_payload"), batch.column("block_payload")):
             ids, vectors, center, root = pickle.loads(tree.as_py())
             query_ids, queries = pickle.loads(block.as_py())
-            found = ([], [], [])
-            for query_id, query in zip(query_ids, queries):
-                point = np.append(query.astype(float), 0.0)
-                base = float(_squared(query)) + length
-                # No product passes the lengths' own; beyond 62 bits Python's integers count.
-                wide = (base - length) * length >= 2.0**124
-
-                def exact(rows, best, k):
-                    rows = rows[ids[rows] != query_id]
-                    if wide:
-                        scores = vectors[rows].astype(object) @ query.astype(object)
-                    else:
-                        scores = vectors[rows] @ query
-                    if len(best) == k:
-                        keep = scores >= best[0][0]
-                        rows, scores = rows[keep], scores[keep]
-                    for score, row in zip(scores.tolist(), ids[rows].tolist()):
-                        if len(best) < k:
-                            heapq.heappush(best, (score, -row))
-                        elif (score, -row) > best[0]:
-                            heapq.heapreplace(best, (score, -row))
-                    worst = best[0][0] if len(best) == k else None
-                    reach = np.inf if worst is None else np.sqrt(max(0.0, base - 2.0 * worst))
-                    reach = reach + 1e-7 * np.sqrt(base)
-                    return best, reach
-
-                for score, row in search(root, center, point, exact, k, slack):
-                    if not -2**63 <= score < 2**63:
-                        raise ValueError(f"the score of {query_id} and {-row} is beyond a long")
-                    found[0].append(query_id)
-                    found[1].append(-row)
-                    found[2].append(score)
+            points = np.pad(queries.astype(float), ((0, 0), (0, 1)))
+            base = _squared(queries) + length
+            # No partial sum of a product passes the lengths' own: doubles count exactly up to
+            # 2^52, longs to 62 bits, Python's integers beyond.
+            most = float((base.max() - length) * length)
+            kind = float if most < 2.0**104 else np.int64 if most < 2.0**124 else object
+            of_kind = vectors.astype(kind), queries.astype(kind)
+
+            def products(asking, rows):
+                rows, asking = np.asarray(rows, np.int64), np.asarray(asking, np.int64)
+                return of_kind[1][asking] @ of_kind[0][rows].T
+
+            def reach_of(asking, worst):
+                left = (base[asking] - 2.0 * worst).astype(float)
+                return np.sqrt(np.maximum(0.0, left)) + 1e-7 * np.sqrt(base[asking])
+
+            query, row, scores = search_block(root, center, points, products, reach_of, ids,
+                                              query_ids, k, slack)
+            found = query_ids[query], ids[row], scores.tolist()
+            for query_id, vec_id, score in zip(*found) if kind is object else ():
+                if not -2**63 <= score < 2**63:
+                    raise ValueError(f"the score of {query_id} and {vec_id} is beyond a long")
+            found = (*found[:2], [int(score) for score in found[2]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 

@@ -238,6 +238,33 @@ def test_m_tree_skips_pages():
     assert len(touched) < 600
 
 
+def test_queries_of_a_block_share_pages():
+    """The best of every query with ties, from few pages a query and few products in all."""
+    random.seed(3)
+    points = np.array([[random.gauss(20 * (i % 9), 1) // 1, random.gauss(0, 1) // 1]
+                       for i in range(2000)])
+    ids = np.array([random.randrange(1800) for _ in range(2000)])
+    asked, own = np.arange(0, 2000, 20), ids[::20]
+    root = search.build(points, np.arange(2000), points.mean(axis=0), 32)
+    calls = []
+
+    def products(asking, rows):
+        asking, rows = np.asarray(asking, int), np.asarray(rows, int)
+        calls.append(len(asking) * len(rows))
+        return -((points[asked[asking], None] - points[rows]) ** 2).sum(axis=2)
+
+    query, row, score = search.search_block(
+        root, points.mean(axis=0), points[asked], products, lambda asking, worst: np.sqrt(-worst),
+        ids, own, 5)
+    found = [[] for _ in asked]
+    for q, r, s in zip(query, row, score):
+        found[q].append((-s, ids[r]))
+    for q, best in enumerate(found):
+        far = ((points - points[asked[q]]) ** 2).sum(axis=1)
+        assert best == sorted((d, i) for d, i in zip(far, ids) if i != own[q])[:5]
+    assert sum(calls) < 100 * 800 and len(calls) < 100 * 4
+
+
 RULES = [("org", "/", "allow"), ("a.org", "/x/", "block"), ("b.a.org", "/", "block"),
          ("com", "/fr/", "allow"), ("com", "/f", "block"), ("", "/", "block"), (None, "/", "block")]
 
