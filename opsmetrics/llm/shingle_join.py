@@ -64,9 +64,11 @@ def band_of(n, percent: int):
 
 
 def width_of(n: int, percent: int) -> int:
-    """Bits of a signature: a power of two, at least twice the largest size of the band."""
+    """Bits of a signature: a power of two, at least the largest size of the band. Sets without
+    a shingle in common then differ in twice as many bits as a link of 80 percent allows, and
+    signatures are most of what is shuffled."""
     band = math.floor(math.log(n) * (1 - 1e-9) / math.log(100 / percent))
-    return max(64, 1 << math.ceil(math.log2(2 * (100 / percent) ** (band + 1))))
+    return max(64, 1 << math.ceil(math.log2((100 / percent) ** (band + 1))))
 
 
 def signature(shingles: np.ndarray, width: int) -> bytes:

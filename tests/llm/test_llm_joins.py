@@ -211,3 +211,21 @@ def test_pivots_are_disjoint_and_rarest():
         cost = dict(grams)
         best = min(cost[x] + cost[y] for x, y in itertools.combinations(places, 2) if y - x >= 2)
         assert b - a >= 2 and cost[a] + cost[b] == best
+
+
+@pytest.mark.parametrize("n", [64, 100, 127, 300, 1000, 5000])
+def test_signatures_are_short_and_tell_sets_apart(n):
+    """A few bits a shingle, of which strangers differ in more than a link allows, and sets as
+    similar as a link asks in no more."""
+    random.seed(n)
+    width = shingle_join.width_of(n, 80)
+    assert n <= width < 2.6 * n
+    hashes = np.array([random.getrandbits(64) for _ in range(2 * n)], np.uint64)
+
+    def apart(a, b):
+        signs = (shingle_join.signature(np.sort(x), width) for x in (a, b))
+        return sum(bin(x ^ y).count("1") for x, y in zip(*signs))
+
+    assert not shingle_join._within(apart(hashes[:n], hashes[n:]), 2 * n, 80)
+    near = n // 10
+    assert shingle_join._within(apart(hashes[:n], hashes[near:n + near]), 2 * n, 80)
