@@ -9,13 +9,14 @@ that taught neither ratios nor weights puts the decision on the scale of probabi
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsmetrics import storage
 from opsmetrics.llm.tables import fold, held_out, materialize
 from opsmetrics.llm.text import (
     code_points, distinct, gram_hashes, is_space, slices, texts_of)
@@ -101,24 +102,33 @@ def _count(batches):
         names=["bucket", "clean", "toxic"])
 
 
-def _select(batches, used: np.ndarray):
+def _fit_batches(batches, used: np.ndarray, ratios: np.ndarray):
+    """One row: the regression over the documents of use 0 (clean) and 1 (toxic), and by it
+    decisions and labels of those of use 2, each in the order they come in."""
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
+    found, target = ([], [], []), ([], [], [])
     for batch in slices(batches):
         text, bucket = grams(texts_of(batch.column("text")), place >= 0)
         bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
         features = place[bucket]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_label").cast(pa.int32()),
-             pa.array([features[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])],
-                      pa.binary())],
-            names=["label", "features"])
+        for use, label, x, y in zip(batch.column("_use").to_pylist(),
+                                    batch.column("_label").to_pylist(), bounds[:-1], bounds[1:]):
+            found[use].append(features[x:y].copy())
+            target[use].append(label)
+    weights, bias = fit_logistic(found[0] + found[1], np.array(target[0] + target[1], float), ratios)
+    weights = weights * ratios
+    z = [_decisions(np.zeros(len(x), np.int64), weights[x], 1)[0] + bias for x in found[2]]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64()),
+         pa.array([z], pa.list_(pa.float64())), pa.array([target[2]], pa.list_(pa.int32()))],
+        names=["weights", "bias", "z", "target"])
 
 
-def log_count_ratios(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """ln of the smoothed shares of a bucket among toxic and among clean documents."""
-    p, q = toxic + 1.0, clean + 1.0
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, sums: tuple[int, int]) -> np.ndarray:
+    """ln of the smoothed shares of a bucket among toxic and among clean documents; ``sums``
+    are those of clean + 1 and of toxic + 1 over all buckets, also over those not given."""
+    return np.log((toxic + 1.0) / sums[1]) - np.log((clean + 1.0) / sums[0])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic",
@@ -132,6 +142,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     ``sample_docs`` documents, half of them toxic where there are enough, in the order of a
     hash of the id; so does the scale, without regard to the label. Rows with a null label,
     id or text teach nothing. Without both labels there is no model (None).
+
+    Counts are stored and the regression runs in a task: the driver gets the chosen buckets,
+    their weights, and a decision for each document that sets the scale, no counts of all
+    buckets and no documents. This runs jobs.
     """
     truth = (labels.filter(F.col(label).isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")))
@@ -143,43 +157,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     # A task's counts are of nearly all buckets whatever it reads: fewer tasks write fewer.
     parts = taught.rdd.getNumPartitions()
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-parts // PARTS_PER_COUNT))
-    counts = (taught.select("text", "_label").coalesce(min(parts, tasks))
-              .mapInArrow(_count, "bucket int, clean bigint, toxic bigint")
-              .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-              .toArrow())
-    bucket, clean, toxic = (counts.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
-    documents = [int(x[bucket == -1].sum()) for x in (clean, toxic)]
+    total, whole = F.col("clean") + F.col("toxic"), F.col("bucket") == -1
+    counts = storage.materialize(
+        taught.select("text", "_label").coalesce(min(parts, tasks))
+        .mapInArrow(_count, "bucket int, clean bigint, toxic bigint")
+        .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .filter(whole | (total >= least_docs)))
+    found = counts.agg(*[F.sum(F.when(of, F.col(c) + more)) for of, more in ((whole, 0), (~whole, 1))
+                         for c in ("clean", "toxic")]).first()
+    documents, sums = [x or 0 for x in found[:2]], [x or 0 for x in found[2:]]
     if not all(documents):
         return None
-    enough = (bucket >= 0) & (clean + toxic >= least_docs)
-    bucket, clean, toxic = bucket[enough], clean[enough], toxic[enough]
-    ratios = log_count_ratios(clean, toxic)
-    gap = np.abs(toxic / documents[1] - clean / documents[0])
-    worth = gap / np.sqrt((toxic + clean + 1) / sum(documents))
-    best = np.sort(np.lexsort((bucket, -worth))[:most_features])
-    bucket, ratios = bucket[best].astype(np.int32), ratios[best]
-
-    def sample(rows: DataFrame, most: int):
-        rows = (rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
-                .select("text", "_label")
-                .mapInArrow(partial(_select, used=bucket), "label int, features binary").collect())
-        return ([np.frombuffer(r.features, np.int32) for r in rows],
-                np.array([r.label for r in rows], float))
-
-    parts = [sample(taught.filter(F.col("_label") == x), sample_docs // 2) for x in (0, 1)]
-    weights, bias = fit_logistic(parts[0][0] + parts[1][0],
-                                 np.concatenate([parts[0][1], parts[1][1]]), ratios)
-    weights = weights * ratios
-    found, target = sample(known.filter("_scale"), sample_docs)
+    gap = F.abs(F.col("toxic") / documents[1] - F.col("clean") / documents[0])
+    best = (counts.filter(~whole)
+            .orderBy((gap / F.sqrt((total + 1) / sum(documents))).desc(), "bucket")
+            .limit(most_features).toArrow())
+    bucket, clean, toxic = (best.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
+    ratios = log_count_ratios(clean, toxic, sums)
+
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    half = sample_docs // 2
+    uses = [(taught.filter("_label = 0"), half), (taught.filter("_label = 1"), half),
+            (known.filter("_scale"), sample_docs)]
+    # The bound of a sample comes from hashes alone, so that only its own texts meet in a task.
+    last = {r.use: r.last for r in reduce(DataFrame.unionAll, [
+        rows.select(order.alias("order")).orderBy("order").limit(most)
+        .agg(F.max("order").alias("last"), F.lit(use).alias("use"))
+        for use, (rows, most) in enumerate(uses)]).collect()}
+    fitted = (reduce(DataFrame.unionAll, [
+        rows.filter(order <= F.lit(last[use])).orderBy(order, "doc_id").limit(most)
+        .select("text", "_label", F.lit(use).alias("_use"))
+        for use, (rows, most) in enumerate(uses)])
+              .coalesce(1).mapInArrow(
+                  partial(_fit_batches, used=bucket, ratios=ratios),
+                  "weights binary, bias double, z array<double>, target array<int>").collect()[0])
+    weights, bias = np.frombuffer(fitted.weights), fitted.bias
     scale = (1.0, float(np.log(documents[1] / documents[0])))
-    if len(set(target)) == 2:
-        z = np.concatenate([_decisions(np.zeros(len(x), np.int64), weights[x], 1) for x in found])
-        scale = fit_scale(z + bias, target)
+    if len(set(fitted.target)) == 2:
+        scale = fit_scale(np.array(fitted.z), np.array(fitted.target, float))
     table = np.zeros(BUCKETS, np.float32)
     table[bucket] = weights
     selected = np.zeros(BUCKETS, bool)
     selected[bucket] = True
-    return Model(table, float(bias), scale, selected)
+    return Model(table, bias, scale, selected)
 
 
 def fit_scale(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:

@@ -14,6 +14,7 @@ from opsmetrics.llm import (
     decontamination, html_text, lm_scores, mixing, near_dedup, quality, search, secret_scan,
     toxicity, url_rules)
 from opsmetrics.llm.components import smallest_reachable
+from opsmetrics.llm.tables import fold_of
 
 DOCS = "doc_id bigint, text string, source string, score double, size string"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -660,6 +661,46 @@ def test_counts_of_buckets_leave_few_tasks(spark, monkeypatch):
     assert spread.weights == pytest.approx(model.weights, abs=1e-6)
 
 
+def test_toxicity_leaves_counts_and_documents_in_spark(spark, monkeypatch):
+    """The driver gets the chosen buckets and a row for each sample; the model is that of a
+    plain fit."""
+    docs, labels = labelled(spark, lambda i, bad: prose(i, 30) + (" Blarg!" if bad else " fine"))
+    hashed = [r.doc_id for r in docs.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got, frame = [], type(docs)
+    for name in ("collect", "toArrow"):
+        def watched(self, name=name, real=getattr(frame, name)):
+            found = real(self)
+            got.append((name, len(found)))
+            return found
+        monkeypatch.setattr(frame, name, watched)
+    model = toxicity.fit_toxicity(docs, labels, "label", sample_docs=60, most_features=300)
+    monkeypatch.undo()
+    assert got and all(rows <= {"collect": 3, "toArrow": 300}[name] for name, rows in got), got
+
+    taught = [i for i in hashed if fold_of(i) > 1]
+    counts = np.zeros((2, toxicity.BUCKETS), np.int64)
+    for i in taught:
+        counts[i % 2][toxicity.grams([texts[i]])[1]] += 1
+    clean, toxic = counts
+    n = [sum(i % 2 == label for i in taught) for label in (0, 1)]
+    worth = abs(toxic / n[1] - clean / n[0]) / np.sqrt((toxic + clean + 1) / sum(n))
+    enough = np.flatnonzero(clean + toxic >= toxicity.LEAST_DOCS)
+    chosen = np.sort(enough[np.lexsort((enough, -worth[enough]))[:300]])
+    assert np.flatnonzero(model.selected).tolist() == chosen.tolist()
+    p, q = toxic[enough] + 1.0, clean[enough] + 1.0
+    ratios = np.log((toxic[chosen] + 1) / p.sum()) - np.log((clean[chosen] + 1) / q.sum())
+    learnt = [i for label in (0, 1) for i in [i for i in taught if i % 2 == label][:30]]
+    place = {bucket: k for k, bucket in enumerate(chosen.tolist())}
+    features = [np.array([place[b] for b in toxicity.grams([texts[i]])[1].tolist() if b in place],
+                         np.int32) for i in learnt]
+    weights, bias = toxicity.fit_logistic(features, np.array([i % 2 for i in learnt], float), ratios)
+    assert np.allclose(model.weights[chosen], weights * ratios, atol=1e-6)
+    assert model.bias == pytest.approx(bias, abs=1e-9)
+    unscaled = docs.filter(F.col("doc_id").isin(taught))
+    assert toxicity.fit_toxicity(unscaled, labels, "label").scale == (1.0, np.log(n[1] / n[0]))
+
+
 KEY = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
 
 
