@@ -7,6 +7,10 @@ trees of bounded size; a tree's pages hold routing objects with covering radii a
 distances to their parents. Each query goes best-first through each tree, skipping pages
 and entries by the triangle inequality; the queries of a block that are at the same page take
 it together, by products of matrices. Scores themselves are exact integers.
+
+Trees and blocks meet in tiles: each is dealt to a part of its kind, and a tile is all of a
+part of the trees and all of a part of the blocks. A task takes a tile's trees one after the
+other, and what a query has found in one bounds its search of the next.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ TREE_ROWS = 8192
 PAGE = 128
 QUERY_BLOCK = 512
 SLACK = 1e-6
+# Tiles, where there are as many pairs of a tree and a block; what a tile holds at most.
+TILES = 32
+TILE_TREES, TILE_BLOCKS = 128, 256
 
 _TREE = "tree int, payload binary"
 _BLOCK = "block int, payload binary"
@@ -33,8 +40,8 @@ _BLOCK = "block int, payload binary"
 
 class Page:
     """A page of an M-tree. Leaves hold row numbers, inner pages hold child pages; both
-    hold, for each entry, its object and the distance to the page's own routing object,
-    inner ones also the covering radius."""
+    hold, for each entry, the distance to the page's own routing object, inner ones also its
+    object and the covering radius. The objects of a leaf are the points of its rows."""
 
     __slots__ = ("objects", "to_parent", "radius", "children", "rows")
 
@@ -51,7 +58,7 @@ def build(points: np.ndarray, rows: np.ndarray, parent: np.ndarray, page: int =
     """A page over the rows: a leaf if they fit, else one entry for each of up to ``page``
     spread-out routing objects with the rows nearest to it."""
     if len(rows) <= page:
-        return Page(points[rows], _distances(points[rows], parent), rows=rows)
+        return Page(None, _distances(points[rows], parent), rows=rows)
     fan = min(page, -(-len(rows) // (page // 2)))
     chosen = [int(rows[0])]
     nearest = _distances(points[rows], points[rows[0]])
@@ -108,17 +115,27 @@ def search(root: Page, center: np.ndarray, query: np.ndarray, exact, k: int,
 
 
 def search_block(root: Page, center: np.ndarray, points: np.ndarray, products, reach_of,
-                 ids: np.ndarray, own: np.ndarray, k: int, slack: float = SLACK):
+                 ids: np.ndarray, own: np.ndarray, k: int, slack: float = SLACK, best=None):
     """``query, row, score`` of the k best rows of the tree for each of ``points``, ties to the
     smaller of ``ids``; a row with the id in ``own`` is no candidate of that query.
 
     As ``search``, in rounds: every query takes the nearest of its waiting pages, one until it
     has k rows and then twice as many as in the round before. ``products`` gives the scores of
     queries and rows, ``reach_of`` the distances that the worst kept scores of queries allow.
+    ``best``, of the same form and in order of query and rank, is what was found before, among
+    rows whose ids follow those of the tree.
     """
-    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), products([], [])[:0].ravel()]
-    worst = np.zeros(len(points), best[2].dtype)
+    best = best or [np.zeros(0, np.int64), np.zeros(0, np.int64), products([], [])[:0].ravel()]
+    none = np.iinfo(best[2].dtype).min if best[2].dtype.kind == "i" else -np.inf
+    worst = np.full(len(points), none, best[2].dtype)
     reach = np.full(len(points), np.inf)
+
+    def bound():
+        full = np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1
+        worst[best[0][full]] = best[2][full]
+        reach[best[0][full]] = reach_of(best[0][full], best[2][full])
+
+    bound()
     pages, children_at = [root], {}
     query, page = np.arange(len(points)), np.zeros(len(points), np.int64)
     floor, away = np.zeros(len(points)), np.sqrt(((points - center) ** 2).sum(axis=1))
@@ -128,7 +145,7 @@ def search_block(root: Page, center: np.ndarray, points: np.ndarray, products, r
         query, page, floor, away = query[near], page[near], floor[near], away[near]
         if not len(query):
             return best
-        take = 1 if np.isinf(reach[query]).any() else 2 * take
+        take = 1 if np.isinf(reach[query]).any() else 16 * take
         by = np.lexsort((floor, query))
         now = np.zeros(len(by), bool)
         now[by] = np.arange(len(by)) - np.searchsorted(query[by], query[by]) < take
@@ -138,20 +155,20 @@ def search_block(root: Page, center: np.ndarray, points: np.ndarray, products, r
         found = [[x] for x in best]
         for of in np.split(at, np.flatnonzero(np.diff(page[at])) + 1):
             here, asking = pages[page[of[0]]], query[of]
-            lower = np.abs(away[of, None] - here.to_parent)
-            if here.radius is not None:
-                lower = lower - here.radius
-            close = lower <= reach[asking, None] + slack
-            entries = np.flatnonzero(close.any(axis=0))
             if here.children is None:
-                rows = here.rows[entries]
+                # Rows that one of the queries may want; the scores themselves say which does.
+                least, most = away[of] - reach[asking] - slack, away[of] + reach[asking] + slack
+                rows = here.rows[(here.to_parent >= least.min()) & (here.to_parent <= most.max())]
                 scores = products(asking, rows)
-                keep = close[:, entries] & (ids[rows] != own[asking, None])
-                keep &= np.isinf(reach[asking, None]) | (scores >= worst[asking, None])
-                i, j = np.nonzero(keep)
+                i, j = np.nonzero(scores >= worst[asking, None])
+                other = ids[rows[j]] != own[asking[i]]
+                i, j = i[other], j[other]
                 for column, more in zip(found, (asking[i], rows[j], scores[i, j])):
                     column.append(more)
                 continue
+            close = (np.abs(away[of, None] - here.to_parent) - here.radius
+                     <= reach[asking, None] + slack)
+            entries = np.flatnonzero(close.any(axis=0))
             to_object = np.stack([_distances(points[asking], here.objects[e]) for e in entries]
                                  or [np.zeros(len(asking))[:0]], axis=-1)
             below = np.maximum(floor[of, None], to_object - here.radius[entries])
@@ -165,12 +182,9 @@ def search_block(root: Page, center: np.ndarray, points: np.ndarray, products, r
         query, page, floor, away = map(np.concatenate, waiting)
         of, row, score = map(np.concatenate, found)
         by = np.lexsort((ids[row], -score, of))
-        rank = np.arange(len(by)) - np.searchsorted(of[by], of[by])
-        by, rank = by[rank < k], rank[rank < k]
+        by = by[np.arange(len(by)) - np.searchsorted(of[by], of[by]) < k]
         best = [of[by], row[by], score[by]]
-        full = rank == k - 1
-        worst[best[0][full]] = best[2][full]
-        reach[best[0][full]] = reach_of(best[0][full], best[2][full])
+        bound()
 
 
 def _quantized(embedding: str, scale: int):
@@ -188,60 +202,119 @@ def _squared(vectors: np.ndarray) -> np.ndarray:
     return (vectors.astype(float) ** 2).sum(axis=-1)
 
 
-def _build_tree(key, table: pa.Table, page: int, length: float) -> pa.Table:
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest type that holds all of them."""
+    for kind in (np.int8, np.int16, np.int32):
+        limits = np.iinfo(kind)
+        if limits.min <= vectors.min() and vectors.max() <= limits.max:
+            return vectors.astype(kind)
+    return vectors
+
+
+def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = table.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
     flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    vectors = flat.reshape(len(ids), -1).astype(np.int64)[order]
+    return ids, flat.reshape(len(ids), -1).astype(np.int64)
+
+
+def _build_tree(key, table: pa.Table, page: int, length: float) -> pa.Table:
+    ids, vectors = _vectors(table)
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
     lifted = np.sqrt(np.maximum(length - _squared(vectors), 0))
     points = np.concatenate([vectors.astype(float), lifted[:, None]], axis=1)
     center = points.mean(axis=0)
     root = build(points, np.arange(len(ids)), center, page)
-    payload = pickle.dumps((ids[order], vectors, center, root), protocol=5)
+    payload = pickle.dumps((ids, _narrow(vectors), center, root), protocol=5)
     return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()),
                      "payload": pa.array([payload], pa.binary())})
 
 
 def _build_block(key, table: pa.Table) -> pa.Table:
-    ids = table.column("vec_id").to_numpy()
-    flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    payload = pickle.dumps((ids, flat.reshape(len(ids), -1).astype(np.int64)), protocol=5)
+    ids, vectors = _vectors(table)
+    payload = pickle.dumps((ids, _narrow(vectors)), protocol=5)
     return pa.table({"block": pa.array([key[0].as_py()], pa.int32()),
                      "payload": pa.array([payload], pa.binary())})
 
 
-def _search_pairs(batches, k: int, length: float):
-    # Rounding of squares moves a distance by no more than its root's share of the sphere.
-    slack = SLACK + 1e-7 * np.sqrt(length)
+class Block:
+    """Queries, and the k best rows for each in the trees that they have met."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, length: float, k: int):
+        self.ids, self.k = ids, k
+        self.points = np.pad(queries.astype(float), ((0, 0), (0, 1)))
+        squared = _squared(queries)
+        self.base = squared + length
+        # No partial sum of a product passes the lengths' own: floats count exactly up to 2^24,
+        # doubles to 2^52, longs to 62 bits, Python's integers beyond.
+        most = float(squared.max() * length)
+        self.kind = (np.float32 if most < 2.0**48 else float if most < 2.0**104 else
+                     np.int64 if most < 2.0**124 else object)
+        self.queries = queries.astype(self.kind)
+        self.query, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score = np.zeros(0, self.kind)
+        # Rounding of squares moves a distance by no more than its root's share of the sphere.
+        self.slack = SLACK + 1e-7 * np.sqrt(length)
+
+    def reach_of(self, asking, worst):
+        left = (self.base[asking] - 2.0 * worst).astype(float)
+        return np.sqrt(np.maximum(0.0, left)) + 1e-7 * np.sqrt(self.base[asking])
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, center: np.ndarray, root: Page) -> None:
+        vectors = vectors.astype(self.kind)
+
+        def products(asking, rows):
+            rows, asking = np.asarray(rows, np.int64), np.asarray(asking, np.int64)
+            return self.queries[asking] @ vectors[rows].T
+
+        ids = np.concatenate([ids, self.row])
+        before = [self.query, np.arange(len(vectors), len(ids)), self.score]
+        self.query, row, self.score = search_block(
+            root, center, self.points, products, self.reach_of, ids, self.ids, self.k, self.slack,
+            before)
+        self.row = ids[row]
+
+    def found(self) -> pa.RecordBatch:
+        found = self.ids[self.query], self.row, self.score.tolist()
+        for query_id, vec_id, score in zip(*found) if self.kind is object else ():
+            if not -2**63 <= score < 2**63:
+                raise ValueError(f"the score of {query_id} and {vec_id} is beyond a long")
+        found = (*found[:2], [int(score) for score in found[2]])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+
+
+def _search_tiles(batches, k: int, length: float):
+    """The k best rows of each tile for each of its queries; a tile's blocks come before its
+    trees, and queries meet trees of their own size only."""
+    now, blocks = None, []
     for batch in batches:
-        for tree, block in zip(batch.column("tree_payload"), batch.column("block_payload")):
-            ids, vectors, center, root = pickle.loads(tree.as_py())
-            query_ids, queries = pickle.loads(block.as_py())
-            points = np.pad(queries.astype(float), ((0, 0), (0, 1)))
-            base = _squared(queries) + length
-            # No partial sum of a product passes the lengths' own: doubles count exactly up to
-            # 2^52, longs to 62 bits, Python's integers beyond.
-            most = float((base.max() - length) * length)
-            kind = float if most < 2.0**104 else np.int64 if most < 2.0**124 else object
-            of_kind = vectors.astype(kind), queries.astype(kind)
-
-            def products(asking, rows):
-                rows, asking = np.asarray(rows, np.int64), np.asarray(asking, np.int64)
-                return of_kind[1][asking] @ of_kind[0][rows].T
-
-            def reach_of(asking, worst):
-                left = (base[asking] - 2.0 * worst).astype(float)
-                return np.sqrt(np.maximum(0.0, left)) + 1e-7 * np.sqrt(base[asking])
-
-            query, row, scores = search_block(root, center, points, products, reach_of, ids,
-                                              query_ids, k, slack)
-            found = query_ids[query], ids[row], scores.tolist()
-            for query_id, vec_id, score in zip(*found) if kind is object else ():
-                if not -2**63 <= score < 2**63:
-                    raise ValueError(f"the score of {query_id} and {vec_id} is beyond a long")
-            found = (*found[:2], [int(score) for score in found[2]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+        for tile, size, is_tree, payload in zip(*map(batch.column, (
+                "tile", "size", "is_tree", "payload"))):
+            if tile != now:
+                yield from (block.found() for _, block in blocks)
+                now, blocks = tile, []
+            ids, vectors, *tree = pickle.loads(payload.as_buffer())
+            if not is_tree.as_py():
+                blocks.append((size, Block(ids, vectors, length, k)))
+                continue
+            for of_size, block in blocks:
+                if of_size == size:
+                    block.meet(ids, vectors, *tree)
+    yield from (block.found() for _, block in blocks)
+
+
+def grid(n_trees: int, n_blocks: int, tree_rows: int = TREE_ROWS, query_block: int = QUERY_BLOCK,
+         k: int = 20) -> tuple[int, int]:
+    """Into how many parts trees and blocks are dealt: of those that make ``TILES`` tiles, if
+    there are as many pairs, of ``TILE_TREES`` and ``TILE_BLOCKS`` at most, the ones that move
+    least. A row goes to every part of the blocks; a query goes to every part of the trees and
+    brings ``k`` rows from each, a third as wide as what a tree holds of a row."""
+    tiles, least = min(TILES, n_trees * n_blocks), -(-n_trees // TILE_TREES)
+    pairs = ((max(least, -(-tiles // of_blocks)), of_blocks)
+             for of_blocks in range(-(-n_blocks // TILE_BLOCKS), n_blocks + 1))
+    return min((pair for pair in pairs if pair[0] <= n_trees), key=lambda pair: (
+        3 * pair[1] * n_trees * tree_rows + pair[0] * n_blocks * query_block * (k + 3)))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
@@ -258,8 +331,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     score among the best of a tree, that does not fit a long fails the job. This runs jobs.
 
     Trees hold about ``tree_rows`` rows, dealt out by a hash of id and vector, and blocks about
-    ``query_block`` queries, so every task works on one tree and one block whatever the
-    size of either table; a query's k best of all trees are merged at the end.
+    ``query_block`` queries. A task holds one tree at a time and at most ``TILE_BLOCKS`` blocks,
+    whatever the size of either table; a query's k best of all tiles are merged at the end.
     """
     def usable(df: DataFrame) -> DataFrame:
         finite = F.forall("_e", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
@@ -296,14 +369,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         asked.withColumn("block", in_block.cast("int")).select("block", "vec_id", "v")
         .groupBy("block").applyInArrow(build_block, _BLOCK)
         .withColumn("size", F.floor(F.col("block") / n_blocks).cast("int")))
-    meet = (
-        trees.select("size", "tree", F.col("payload").alias("tree_payload"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_b"))
-        .withColumn("block", F.col("_b") + F.col("size") * n_blocks)
-        .repartition(n_trees * n_blocks, "tree", "block")
-        .join(blocks.select("block", F.col("payload").alias("block_payload")), "block"))
-    found = meet.select("tree_payload", "block_payload").mapInArrow(
-        partial(_search_pairs, k=k, length=longest), "query_id bigint, vec_id bigint, score bigint")
+    of_trees, of_blocks = grid(n_trees, n_blocks, tree_rows, query_block, k)
+
+    def parts(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    tiles = (
+        trees.select(F.pmod("tree", F.lit(of_trees)).alias("_t"), parts(of_blocks).alias("_b"),
+                     "size", F.lit(True).alias("is_tree"), "payload")
+        .union(blocks.select(parts(of_trees).alias("_t"), F.pmod("block", F.lit(of_blocks)),
+                             "size", F.lit(False), "payload"))
+        .select((F.col("_t") * of_blocks + F.col("_b")).cast("int").alias("tile"), "size",
+                "is_tree", "payload")
+        .repartitionById(of_trees * of_blocks, "tile").sortWithinPartitions("tile", "is_tree"))
+    found = tiles.mapInArrow(partial(_search_tiles, k=k, length=longest),
+                             "query_id bigint, vec_id bigint, score bigint")
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pickle
 import random
 import re
 
@@ -524,6 +525,55 @@ def test_search_defines_what_no_long_holds(spark):
         search.top_k(product, product.filter("vec_id = 0")).collect()
 
 
+@pytest.mark.parametrize("tiles, most", [(6, (128, 256)), (1, (128, 256)), (6, (4, 2))])
+def test_trees_and_blocks_meet_in_few_tiles(spark, monkeypatch, tiles, most):
+    """No tree or query is copied for each of the other kind; a query's best of one tree bound
+    its search of the next. Two lengths of vectors, repeated ids and vectors."""
+    random.seed(61)
+    rows = [(i % 330, [float(random.randrange(-9, 9)) for _ in range(4 if i % 3 else 7)])
+            for i in range(400)]
+    rows += [(500 + i, rows[1][1]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(search, "TILES", tiles)
+    monkeypatch.setattr(search, "TILE_TREES", most[0])
+    monkeypatch.setattr(search, "TILE_BLOCKS", most[1])
+    result = search.top_k(table, table.filter("vec_id % 20 = 0"), 6, scale=1, tree_rows=25,
+                          query_block=4, page=5)
+    assert "Join" not in result._jdf.queryExecution().executedPlan().toString()
+    queries = {}
+    for i, v in rows:
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, v), v)
+    expected = []
+    for q, of in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(of, v)), i)
+                      for i, v in rows if i != q and len(v) == len(of))[:6]
+        expected += [(q, rank, i, int(-s)) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, result.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("n_trees, n_blocks", [
+    (1, 1), (7, 6), (13, 1), (76, 61), (301, 301), (1880, 1504), (5, 4000)])
+def test_tiles_move_few_copies_and_hold_little(n_trees, n_blocks):
+    of_trees, of_blocks = search.grid(n_trees, n_blocks)
+    assert of_trees <= n_trees and of_blocks <= n_blocks
+    assert of_trees * of_blocks >= min(search.TILES, n_trees * n_blocks)
+    assert n_trees <= of_trees * search.TILE_TREES and n_blocks <= of_blocks * search.TILE_BLOCKS
+    assert of_blocks <= max(search.TILES, -(-n_blocks // search.TILE_BLOCKS))
+
+
+def test_a_stored_tree_takes_little_more_than_its_numbers():
+    random.seed(67)
+    vectors = np.array([[random.randrange(-40, 40) for _ in range(16)] for _ in range(3000)])
+    flat = pa.array(vectors.ravel().tolist(), pa.int64())
+    table = pa.table({"vec_id": np.arange(3000), "v": pa.ListArray.from_arrays(
+        pa.array(np.arange(3001) * 16, pa.int32()), flat)})
+    built = search._build_tree((pa.scalar(3, pa.int32()),), table, 128, 16 * 40.0**2)
+    assert len(built["payload"][0].as_py()) < 3000 * (16 + 8 + 8 + 8) + 60 * 600
+    ids, stored, _, _ = pickle.loads(built["payload"][0].as_py())
+    assert (stored == vectors).all() and (ids == np.arange(3000)).all()
+
+
 def labelled(spark, make):
     docs = [(i, make(i, i % 2), "s", None, None) for i in range(240)]
     labels = [(i, i % 2) for i in range(240)] + [(7, None), (None, 1)]
