@@ -15,6 +15,7 @@ from opsmetrics.llm import (
     decontamination, html_text, lm_scores, mixing, near_dedup, quality, search, secret_scan,
     toxicity, url_rules)
 from opsmetrics.llm.components import smallest_reachable
+from opsmetrics.llm.queries import op8_lm_scores
 from opsmetrics.llm.tables import fold_of
 
 DOCS = "doc_id bigint, text string, source string, score double, size string"
@@ -484,6 +485,61 @@ def test_pairs_of_one_text_are_given_up(spark, odd, none, frequent, sample):
     assert lm_scores.supported_scores(none).count() == 0
 
 
+@pytest.mark.parametrize("frequent, sample", [(20, 1), (60, 1), (400, 2), (1 << 17, 4), (900, 1)])
+def test_texts_are_scored_by_the_counts_of_others(spark, odd, none, frequent, sample):
+    """Counts of the words themselves in all rows but the scored one."""
+    random.seed(59)
+    texts = [(i, prose(i, random.randrange(0, 30), 25)) for i in range(50)]
+    texts += [(100 + i, texts[i][1]) for i in range(10)]
+    texts += [(200, "own own own own"), (201, "rare1 rare2 a rare1"), (202, "rare1 rare2 rare3"),
+              (203, " "), (204, "own"), (205, "rare1 rare2 x"), (205, "rare4 rare5"), (206, None),
+              (207, "two two two"), (208, "two two"), (209, "b rare6 rare6 b"), (210, "b rare6")]
+    counts = []
+    for _, t in texts:
+        w, count = (t or "").split(), {}
+        for gram in [(x,) for x in w] + list(zip(w, w[1:])):
+            count[gram] = count.get(gram, 0) + 1
+        counts.append(count)
+    expected, given_up = {}, 0
+    for at, (doc_id, t) in enumerate(texts):
+        others = {}
+        for count in counts[:at] + counts[at + 1:]:
+            for gram, n in count.items():
+                others[gram] = others.get(gram, 0) + n
+        total = sum(n for gram, n in others.items() if len(gram) == 1)
+        w, whole = (t or "").split(), 0.0
+        for i, word in enumerate(w):
+            if i and (w[i - 1], word) in others:
+                whole += np.log(others[w[i - 1], word] / others[w[i - 1],])
+            else:
+                whole += np.log(others.get((word,), 1) / total) + (np.log(0.4) if i else 0)
+                given_up += i > 0
+        n, so_far = expected.get(doc_id, (0, 0.0))
+        expected[doc_id] = n + len(w), so_far + whole
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = lm_scores.supported_scores(
+        docs, frequent=frequent, sample=sample, per_part=100, apart=True).collect()
+    assert given_up > 100 and len(found) == len(expected)
+    for r in found:
+        n, whole = expected[r.doc_id]
+        assert r.n_words == n and r.total == pytest.approx(whole, abs=1e-9)
+        assert r.score == pytest.approx(whole / n) if n else r.score is None
+    rows = lm_scores.supported_scores(odd, apart=True).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5}
+    assert lm_scores.supported_scores(none, apart=True).count() == 0
+    only = docs.filter("doc_id = 201")
+    assert lm_scores.supported_scores(only, apart=True).first().total == pytest.approx(
+        3 * np.log(0.4))
+
+
+def test_the_query_scores_texts_by_the_counts_of_others(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, "a b a b a b"), (2, "a b c"), (3, "c d")], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.total for r in op8_lm_scores(spark, str(tmp_path)).collect()}
+    assert found[2] == pytest.approx(np.log(3 / 8) + np.log(3 / 3) + np.log(0.4 / 8))
+
+
 def test_supported_scores_shuffle_pairs_once(spark):
     docs = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(50)],
                                  "doc_id bigint, text string")
